@@ -58,6 +58,16 @@ def band_limits(top: int = 1 << 40) -> np.ndarray:
 LIMITS = band_limits()
 
 
+def parts_of(high: int) -> int:
+    """Parts of the long sketch of a band.
+
+    The fewer, the more shingles meet in a part and the less often it equals another set's by
+    chance; but a set must fill more than d of them. So few are for large sets alone: with these,
+    a set fills d or fewer with odds under 1e-20.
+    """
+    return 4 * high if high <= 256 else high if high <= 1024 else high // 2
+
+
 def keys_of(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The join keys of a set: for its band and the next, the first d + 1 occupied parts."""
     a, out = len(tokens), []
@@ -76,8 +86,7 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.nd
         if high <= 64:  # each shingle has a part of its own
             word = mix(tokens)
         else:
-            # Over 64 shingles in 4 x high parts fill more than d parts but for odds under 1e-30.
-            part = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(4 * high)
+            part = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(parts_of(high))
             order = np.argsort(part, kind="stable")
             part = part[order]
             edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
@@ -182,18 +191,21 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int, buckets: int, frequent) ->
 
 
 def _groups(table: pa.Table) -> pa.Table:
-    """Of one bucket, the (key, doc) rows of keys that two or more documents have."""
+    """Of one bucket, the (key, lead, node) rows of keys that two or more documents have; lead is the smallest, node another."""
     key, doc = [], []
     for r in table.to_pylist():
         key.append(np.frombuffer(r["keys"], np.uint32).astype(np.uint64) | np.frombuffer(r["high"], np.uint8).astype(np.uint64) << np.uint64(32))
         doc.append(np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["doc"], np.uint16)])
     bucket = table.column("bucket")[0].as_py()
     key, doc = np.concatenate(key), np.concatenate(doc)
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
-    same = key[1:] == key[:-1]
-    take = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    return pa.table({"gid": pa.array((np.uint64(bucket) << np.uint64(40) | key[take]).astype(np.int64)), "node": pa.array(doc[take])})
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    lead = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    take = doc != lead
+    take[1:] &= new[1:] | (doc[1:] != doc[:-1])
+    gid = (np.uint64(bucket) << np.uint64(40) | key[take]).astype(np.int64)
+    return pa.table({"gid": pa.array(gid), "lead": pa.array(lead[take]), "node": pa.array(doc[take])})
 
 
 def _verified(table: pa.Table, k: int) -> pa.Table:
@@ -257,38 +269,41 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys // BUCKET + 1)
     keys = rows.mapInArrow(lambda it: _keys(it, k, buckets, told), KEYS)
-    found = keys.groupBy("bucket").applyInArrow(_groups, "gid long, node long")
+    groups = keep.save(keys.groupBy("bucket").applyInArrow(_groups, "gid long, lead long, node long"))
 
     # Equal sets: the smallest id stands for all.
     equal = keep.save(facts.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sig", "rep"))
     copies = keep.save(facts.where("n > 0").join(equal, "sig").where("doc_id <> rep").select("doc_id", "rep").distinct())
-    groups = found.join(copies, found.node == copies.doc_id, "left").select("gid", F.coalesce("rep", "node").alias("node")).distinct()
-    groups = keep.save(groups)
-
-    lead = groups.groupBy("gid").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("gid", "lead")
-    lead = keep.save(lead)
-    first = groups.join(lead, "gid").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
     sized = facts.where("doc_id is not null").select(F.col("doc_id").alias("node"), "n", "sketch")
-    near = sized.alias("x").join(sized.alias("y").join(first, F.col("y.node") == F.col("v")).select("y.*", "u"), F.expr("x.node = u")).where(_near("x", "y"))
-    pairs = keep.save(near.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct())
-    involved = groups.join(lead, "gid", "left_semi").select(F.col("node").alias("doc_id")).distinct()
-    known = keep.save(rows.join(involved, "doc_id", "left_semi").distinct())
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs that an exact count confirms; a leader's partners are dealt out in groups of about 64."""
         parts = pairs.groupBy("u").agg((F.count(F.lit(1)) / 64).cast("long").alias("parts"))
         dealt = pairs.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts") + 1))
         want = dealt.select("u", "part", F.col("v").alias("doc_id"), F.lit(0).alias("lead")).unionByName(dealt.select("u", "part", F.col("u").alias("doc_id"), F.lit(1).alias("lead")).distinct())
+        nodes = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+        known = rows.join(nodes, "doc_id", "left_semi").distinct()
         return known.join(want, "doc_id").groupBy("u", "part").applyInArrow(lambda t: _verified(t, k), "u long, v long")
 
+    def standing(frame: DataFrame, *names: str) -> DataFrame:
+        """The frame with the ids of equal sets' documents replaced by the smallest."""
+        for name in names:
+            rep = copies.select(F.col("doc_id").alias("__id"), F.col("rep").alias("__rep"))
+            frame = frame.join(rep, frame[name] == rep["__id"], "left").withColumn(name, F.coalesce("__rep", name)).drop("__id", "__rep")
+        return frame
+
+    first = standing(groups.select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "u", "v").where("u <> v")
+    first = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    with_v = sized.alias("y").join(first, F.col("y.node") == F.col("v")).select("y.*", "u")
+    near = sized.alias("x").join(with_v.alias("y"), F.expr("x.node = y.u")).where(_near("x", "y"))
+    pairs = keep.save(near.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct())
     edges = keep.save(links(pairs))
     roots = components(edges, keep)
 
-    # Groups that lie in several components: compare what is left across them.
-    placed = groups.join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"))
-    open_ = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("lead")).where("low <> high").select("gid", "lead")
-    rest = placed.join(open_, "gid").where("node <> lead").join(sized, "node")
-    rest = keep.save(rest)
+    # All have been compared with their leaders. Groups whose others still lie in several components: compare those across.
+    placed = standing(groups, "node").join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"))
+    open_ = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gid")
+    rest = keep.save(placed.join(open_, "gid", "left_semi").distinct().join(sized, "node"))
     across = rest.alias("x").join(rest.alias("y"), F.expr("x.gid = y.gid and x.node < y.node and x.root <> y.root") & _near("x", "y"))
     more = keep.save(across.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct())
     if not more.isEmpty():
@@ -298,7 +313,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     final = facts.join(copies, "doc_id", "left").withColumn("node", F.coalesce("rep", "doc_id"))
     final = final.join(roots, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("component_id"))
-    keep.drop(rest, known, groups, lead, pairs, more)
+    keep.drop(rest, groups, pairs, more)
     return final
 
 

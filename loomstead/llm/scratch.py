@@ -29,18 +29,18 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.at = spark, f"{folder(spark)}/loomstead-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.saved: list[tuple[DataFrame, str]] = []
 
     def save(self, frame: DataFrame) -> DataFrame:
-        path = f"{self.at}/{len(self.paths)}"
+        path = f"{self.at}/{len(self.saved)}"
         frame.write.parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.saved.append((out, path))
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        for frame in frames:
-            if path := self.paths.get(id(frame)):
+        for known, path in self.saved:
+            if any(known is frame for frame in frames):
                 jvm = self.spark.sparkContext._jvm
                 place = jvm.org.apache.hadoop.fs.Path(path)
                 place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
