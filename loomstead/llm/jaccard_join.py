@@ -1,9 +1,9 @@
 """N-gram Jaccard join by parity sketches (operator 10).
 
 A text's set holds its distinct k-word shingles. Every set is XOR-hashed into
-parity sketches: a dense one of 1,024 bits, whose Hamming distance is at most
-the symmetric difference of two sets, and, for each size band, a long one cut
-into parts. If two sets reach the Jaccard threshold t, their symmetric
+parity sketches: a dense one of 1,024 bits (and one that grows with large sets),
+whose Hamming distance is at most the symmetric difference of two sets, and, for
+each size band, a long one cut into parts. If two sets reach the Jaccard threshold t, their symmetric
 difference is at most (1 - t) / (1 + t) of the sum of their sizes, d. A part
 that differs holds an element of the difference, so at most d of the occupied
 parts of either set differ. By the pigeonhole principle the two share a part
@@ -45,6 +45,8 @@ FREQUENT = 500
 #: Shingles in one block of local counts, keys in one packed bucket.
 BLOCK, BUCKET = 1 << 21, 1 << 21
 SKETCH_WORDS = 16
+#: Sets over this size also have a sketch that grows with them.
+WIDE = 512
 
 
 def band_limits(top: int = 1 << 40) -> np.ndarray:
@@ -109,12 +111,38 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-FACTS = "kind int, doc_id long, n long, sig binary, sketch array<long>"
+def wide_sketch(tokens: np.ndarray) -> bytes | None:
+    """For a set over WIDE, the parities of as many bits as it has shingles, or up to twice as many."""
+    if len(tokens) <= WIDE:
+        return None
+    size = 1 << int(len(tokens)).bit_length()
+    bits = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def far_apart(a: bytes, b: bytes, total: int) -> bool:
+    """Whether wide sketches show that sets of ``total`` shingles together differ in too many; halves of the longer are XORed until sizes agree."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return (DENOMINATOR + NUMERATOR) * int(np.bitwise_count(x ^ y).sum()) > (DENOMINATOR - NUMERATOR) * total
+
+
+def _wide_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, n = (batch.column(c).to_pylist() for c in ("a", "b", "total"))
+        keep = pa.array([x is None or y is None or not far_apart(x, y, t) for x, y, t in zip(a, b, n, strict=True)], pa.bool_())
+        yield batch.select(["u", "v"]).filter(keep)
+
+
+FACTS = "kind int, doc_id long, n long, sig binary, sketch array<long>, wide binary"
 
 
 def _facts(batches: Iterator[pa.RecordBatch], k: int, frequent: int) -> Iterator[pa.RecordBatch]:
     """kind 0: a row for each text; kind 1: shingles (sig) that many texts of a block hold, and how many (n)."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("sketch", pa.list_(pa.int64())), ("wide", pa.binary())])
     held, size, texts = [], 0, 0
 
     def block():
@@ -123,17 +151,18 @@ def _facts(batches: Iterator[pa.RecordBatch], k: int, frequent: int) -> Iterator
             tokens, count = np.unique(np.concatenate(held), return_counts=True)
             take = count >= max(3, texts / frequent)
             n = int(take.sum())
-            out = pa.record_batch([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(count[take].astype(np.int64)), pa.array([packed(x) for x in tokens[take]], pa.binary()), pa.nulls(n, pa.list_(pa.int64()))], schema=schema)
+            out = pa.record_batch([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(count[take].astype(np.int64)), pa.array([packed(x) for x in tokens[take]], pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary())], schema=schema)
             held, size, texts = [], 0, 0
             return out
         return None
 
     for batch in batches:
-        ns, sigs, sketches = [], [], []
+        ns, sigs, sketches, wide = [], [], [], []
         for tokens in shingle_sets(batch.column("text"), k):
             ns.append(len(tokens))
             sigs.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
             sketches.append(sketch(tokens))
+            wide.append(wide_sketch(tokens))
             if len(tokens):
                 held.append(tokens)
                 size, texts = size + len(tokens), texts + 1
@@ -142,7 +171,7 @@ def _facts(batches: Iterator[pa.RecordBatch], k: int, frequent: int) -> Iterator
         n = len(ns)
         flat = pa.array(np.concatenate(sketches) if n else np.zeros(0, np.int64))
         rows = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH_WORDS * n + 1, SKETCH_WORDS, dtype=np.int32)), flat)
-        yield pa.record_batch([pa.array(np.zeros(n, np.int32)), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), rows], schema=schema)
+        yield pa.record_batch([pa.array(np.zeros(n, np.int32)), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), rows, pa.array(wide, pa.binary())], schema=schema)
     if (out := block()) is not None:
         yield out
 
@@ -292,11 +321,21 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             frame = frame.join(rep, frame[name] == rep["__id"], "left").withColumn(name, F.coalesce("__rep", name)).drop("__id", "__rep")
         return frame
 
+    big = all_facts.where("kind = 0 and wide is not null and doc_id is not null").select("doc_id", "wide")
+
+    def wide_near(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v, small, total) that the wide sketches allow."""
+        both = pairs.where(F.col("small") > WIDE).join(big.select(F.col("doc_id").alias("u"), F.col("wide").alias("a")), "u")
+        both = both.join(big.select(F.col("doc_id").alias("v"), F.col("wide").alias("b")), "v").select("u", "v", "a", "b", "total")
+        return pairs.where(F.col("small") <= WIDE).select("u", "v").unionByName(both.mapInArrow(_wide_near, "u long, v long").distinct())
+
     first = standing(groups.select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "u", "v").where("u <> v")
     first = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     with_v = sized.alias("y").join(first, F.col("y.node") == F.col("v")).select("y.*", "u")
     near = sized.alias("x").join(with_v.alias("y"), F.expr("x.node = y.u")).where(_near("x", "y"))
-    pairs = keep.save(near.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct())
+    pairs = keep.save(wide_near(near.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.least("x.n", "y.n").alias("small"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()))
+    # Those that the sketches refuse would be refused again, so only those left are remembered as compared.
+    tested = pairs
     edges = keep.save(links(pairs))
     roots = components(edges, keep)
 
@@ -305,7 +344,8 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     open_ = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gid")
     rest = keep.save(placed.join(open_, "gid", "left_semi").distinct().join(sized, "node"))
     across = rest.alias("x").join(rest.alias("y"), F.expr("x.gid = y.gid and x.node < y.node and x.root <> y.root") & _near("x", "y"))
-    more = keep.save(across.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct())
+    more = across.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.least("x.n", "y.n").alias("small"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()
+    more = keep.save(wide_near(more.join(tested, ["u", "v"], "left_anti")))
     if not more.isEmpty():
         more_edges = keep.save(links(more).unionByName(edges))
         keep.drop(edges)
