@@ -31,6 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,29 +206,45 @@ class Tree:
         return np.log10(p), x
 
 
-SCORED = "doc_id long, uid long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-SENT = "bucket long, kind int, keys binary, counts binary, docs binary, " + SCORED
-_SENT = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+SENT = "bucket long, kind int, source long, keys binary, counts binary, docs binary, uid long, " + SCORED
+BACK = "source long, docs binary, known binary, logs binary, uid long, " + SCORED
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+
+
+def _schema(names: str) -> pa.Schema:
+    return pa.schema([(n, _KINDS[k]) for n, k in (x.split(" ") for x in names.split(", "))])
+
+
+def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+    """n rows with the given columns, nulls elsewhere."""
+    return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def _score(batches, told, buckets: int) -> Iterator[pa.RecordBatch]:
-    """kind 2: a row per text without its rare words; kind 1: packed (rare word, text) pairs."""
-    tree = told.value
-    held, uids, size = [], [], 0
+    """Of each run of texts (a source): kind 2, a row per text without its rare words; kind 1, packed (rare word, text) pairs by bucket."""
+    tree, schema = told.value, _schema(SENT)
+    source = TaskContext.get().partitionId() << 24
+    held, texts_held, size = [], [], 0
 
     def flush():
-        nonlocal held, uids, size
-        keys = np.concatenate([k for k, _ in held])
-        n = np.concatenate([c for _, c in held]).astype(np.uint16)
-        doc = np.repeat(np.arange(len(held), dtype=np.int64), [len(k) for k, _ in held])
-        names = np.array(uids, np.int64)
-        rows = []
-        for b, k, c, d in _by_bucket(keys, buckets, n, doc):
-            who, at = np.unique(d, return_inverse=True)
-            rows.append({"bucket": b, "kind": 1, "keys": packed(k), "counts": packed(np.concatenate([c, at.astype(np.uint16)])), "docs": packed(names[who])})
-        held, uids, size = [], [], 0
-        return pa.RecordBatch.from_pylist(rows, schema=_SENT)
-
+        nonlocal held, texts_held, size, source
+        part = {k: np.concatenate([t[k] for t in texts_held]) for k in ("uid", "held_out", "n_tokens", "n_known", "base_score", "score")}
+        ids = pa.concat_arrays([t["doc_id"] for t in texts_held])
+        n = len(ids)
+        yield _rows(schema, n, bucket=np.full(n, source % buckets), kind=np.full(n, 2, np.int32), source=np.full(n, source), doc_id=ids, **part)
+        if held:
+            keys, c = np.concatenate([k for k, _, _ in held]), np.concatenate([c for _, c, _ in held]).astype(np.uint16)
+            doc = np.repeat(np.array([u for _, _, u in held], np.int64), [len(k) for k, _, _ in held])
+            rows = []
+            for b, k, times, d in _by_bucket(keys, buckets, c, doc):
+                who, at = np.unique(d, return_inverse=True)
+                rows.append((b, packed(k), packed(np.concatenate([times, at.astype(np.uint16)])), packed(who)))
+            b, k, times, d = zip(*rows, strict=True)
+            yield _rows(schema, len(b), bucket=b, kind=[1] * len(b), source=[source] * len(b), keys=k, counts=times, docs=d)
+        held, texts_held, size, source = [], [], 0, source + 1
+
+    waiting = 0
     for batch in batches:
         ids, uid, fold = batch.column("doc_id"), np.asarray(batch.column("uid")), np.asarray(batch.column("fold"))
         for i, j, h, begin in sequences(batch.column("text")):
@@ -235,39 +253,34 @@ def _score(batches, told, buckets: int) -> Iterator[pa.RecordBatch]:
             n = j - i
             text_of = np.repeat(np.arange(n), np.diff(begin))
             known = np.bincount(text_of, x >= 0, n).astype(np.int64)
-            empty = pa.nulls(n, pa.binary())
-            yield pa.record_batch([pa.array(uid[i:j] % buckets), pa.array(np.full(n, 2, np.int32)), empty, empty, empty, ids.slice(i, n), pa.array(uid[i:j]), pa.array(fold[i:j] == 1), pa.array(np.diff(begin)), pa.array(known), pa.array(np.bincount(text_of, base, n)), pa.array(np.bincount(text_of, logs, n))], schema=_SENT)
+            texts_held.append({"doc_id": ids.slice(i, n), "uid": uid[i:j], "held_out": fold[i:j] == 1, "n_tokens": np.diff(begin), "n_known": known, "base_score": np.bincount(text_of, base, n), "score": np.bincount(text_of, logs, n)})
+            waiting += n
             for t in range(n):
                 part = slice(begin[t], begin[t + 1])
                 rare, c = np.unique(h[part][x[part] < 0], return_counts=True)
-                if len(rare):
-                    held.append((rare, np.minimum(c, 65535)))
-                    uids.append(int(uid[i + t]))
+                while len(rare):  # counts beyond two bytes go as further pairs
+                    held.append((rare, np.minimum(c, 65535), int(uid[i + t])))
                     size += len(rare)
-                while len(c) and c.max() > 65535:  # counts beyond two bytes go as further pairs
                     rare, c = rare[c > 65535], c[c > 65535] - 65535
-                    held.append((rare, np.minimum(c, 65535)))
-                    uids.append(int(uid[i + t]))
-                if size >= BLOCK or len(held) >= 60_000:
-                    yield flush()
-    if held:
-        yield flush()
+            if size >= BLOCK or waiting >= 30_000:
+                yield from flush()
+                waiting = 0
+    if texts_held:
+        yield from flush()
 
 
 def _answer(table: pa.Table, total: int, distinct: int) -> pa.Table:
-    """Texts pass through; pairs become what they add to their texts, one row per text and packed block."""
+    """Texts pass through; packed pairs become packed sums of what they add to their texts, a row for a row."""
+    schema = _schema(BACK)
     kind = np.asarray(table.column("kind"))
-    out = table.filter(pa.array(kind == 2)).select(["doc_id", "uid", "held_out", "n_tokens", "n_known", "base_score", "score"])
+    passed = table.filter(pa.array(kind == 2))
+    out = [pa.table({f.name: passed.column(f.name) if f.name not in ("known", "logs") else pa.nulls(len(passed), f.type) for f in schema}, schema=schema)]
     counts = table.filter(pa.array(kind == 0)).select(["keys", "counts"]).to_pylist()
-    asks = table.filter(pa.array(kind == 1)).select(["keys", "counts", "docs"]).to_pylist()
-    if not asks:
-        return out
-    # the counts of a bucket have been summed: keys are distinct
+    asks = table.filter(pa.array(kind == 1)).select(["source", "keys", "counts", "docs"]).to_pylist()
     keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["keys"], np.uint64) for r in counts]])
     n = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["counts"], np.int64) for r in counts]])
-    order = np.argsort(keys)
+    order = np.argsort(keys)  # the counts of a bucket have been summed: keys are distinct
     keys, n = keys[order], n[order]
-    uids, known, logs = [], [], []
     bottom = np.log10(total + 0.5 * (distinct + 1)) if total else 0.0
     for r in asks:
         k, both, docs = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.uint16), np.frombuffer(r["docs"], np.int64)
@@ -277,15 +290,24 @@ def _answer(table: pa.Table, total: int, distinct: int) -> pa.Table:
             at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
             c = np.where(keys[at] == k, n[at], 0)
         log = np.log10(c + 0.5) - bottom if total else np.zeros(len(k))
-        uids.append(docs)
-        known.append(np.bincount(doc, times * (c > 0), len(docs)).astype(np.int64))
-        logs.append(np.bincount(doc, times * log, len(docs)))
-    u, kn, lo = np.concatenate(uids), np.concatenate(known), np.concatenate(logs)
-    who, at = np.unique(u, return_inverse=True)
-    kn, lo = np.bincount(at, kn).astype(np.int64), np.bincount(at, lo)
-    m = len(who)
-    more = pa.table([pa.nulls(m, pa.int64()), pa.array(who), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.array(kn), pa.array(lo), pa.array(lo)], schema=out.schema)
-    return pa.concat_tables([out, more])
+        known = np.bincount(doc, times * (c > 0), len(docs)).astype(np.int64)
+        out.append(pa.Table.from_batches([_rows(schema, 1, source=[r["source"]], docs=[r["docs"]], known=[packed(known)], logs=[packed(np.bincount(doc, times * log, len(docs)))])]))
+    return pa.concat_tables(out)
+
+
+def _whole(table: pa.Table) -> pa.Table:
+    """The texts of one source with what all buckets have added; at most about BLOCK pairs."""
+    is_text = table.column("uid").is_valid()
+    own = table.filter(is_text).combine_chunks()
+    uid = own.column("uid").to_numpy()
+    known, logs = own.column("n_known").to_numpy().copy(), np.zeros(len(uid))
+    order = np.argsort(uid)
+    for r in table.filter(pc.invert(is_text)).select(["docs", "known", "logs"]).to_pylist():
+        at = order[np.searchsorted(uid[order], np.frombuffer(r["docs"], np.int64))]
+        known[at] += np.frombuffer(r["known"], np.int64)
+        logs[at] += np.frombuffer(r["logs"], np.float64)
+    add = {"n_known": known, "base_score": own.column("base_score").to_numpy() + logs, "score": own.column("score").to_numpy() + logs}
+    return pa.table({f.name: add.get(f.name, own.column(f.name)) for f in _schema(SCORED)}, schema=_schema(SCORED))
 
 
 def score_texts(docs: DataFrame, p_min: float = P_MIN) -> DataFrame:
@@ -338,6 +360,6 @@ def score_texts(docs: DataFrame, p_min: float = P_MIN) -> DataFrame:
     sent = rows.mapInArrow(lambda it: _score(it, last, buckets), SENT)
     null = {name: F.lit(None).cast(kind).alias(name) for name, kind in (x.split(" ") for x in SENT.split(", "))}
     known = words.select(*["bucket" if c == "bucket" else F.lit(0).alias("kind") if c == "kind" else c if c in ("keys", "counts") else null[c] for c in null])
-    answered = sent.unionByName(known).groupBy("bucket").applyInArrow(lambda t: _answer(t, total, distinct), SCORED)
-    summed = answered.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    answered = sent.unionByName(known).groupBy("bucket").applyInArrow(lambda t: _answer(t, total, distinct), BACK)
+    scored = answered.groupBy("source").applyInArrow(_whole, SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
