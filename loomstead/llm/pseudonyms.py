@@ -47,7 +47,9 @@ KINDS = [
     ("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
     ("card", EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + AFTER),
 ]
-ANY = "|".join(f"(?:{p})" for _, p in KINDS).replace(r"([.-])[0-9]{3}\1", r"[.-][0-9]{3}[.-]")
+#: No value starts inside a word, and the first run without white space holds a digit or @; this rules out most places at once.
+GATE = r"(?<![A-Za-z0-9])(?=[0-9A-Za-z+(._%-])(?=\S*?[0-9@])"
+ANY = GATE + "(?:" + ("|".join(f"(?:{p})" for _, p in KINDS) + ")").replace(r"([.-])[0-9]{3}\1", r"[.-][0-9]{3}[.-]")
 _PATTERN = {k: p.replace(r"([.-])[0-9]{3}\1", r"[.-][0-9]{3}[.-]") for k, p in KINDS}
 
 
