@@ -6,7 +6,8 @@ distinct documents are counted per hash, and keys in ``min_docs`` or more
 documents lose all lines but those of the smallest doc_id that holds them.
 The rest of each document is put together again by position.
 
-Only hashes, ids and positions are shuffled by key; equal (hash, document)
+Hashes, ids and positions of all lines are stored once, 28 bytes a line; only
+they are shuffled by key; equal (hash, document)
 pairs are combined before. The common keys are stored as a table, so that the
 join of all lines with them is of two plain exchanges and a hot key is split
 by adaptive execution. Texts move once, by doc_id.
@@ -37,7 +38,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def _with_kept(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     keep = Scratch(docs.sparkSession)
-    lines = _lines(docs, min_chars)
+    lines = keep.save(_lines(docs, min_chars))
     counted = lines.select("hash", "id").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"))
     common = keep.save(counted.where(F.col("docs") >= min_docs).select("hash", "first"))
     dropped = lines.join(common, "hash").where("id <> first").groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__drop"))
