@@ -47,8 +47,6 @@ BLOCK, BUCKET = 1 << 21, 1 << 21
 SKETCH_WORDS = 16
 #: Sets over this size also have a sketch that grows with them.
 WIDE = 512
-#: Ids that may be sent to every executor (32 MB).
-MOST = 1 << 22
 
 
 def band_limits(top: int = 1 << 40) -> np.ndarray:
@@ -242,33 +240,20 @@ def _groups(table: pa.Table) -> pa.Table:
 def _verified(table: pa.Table, k: int) -> pa.Table:
     """Of one leader's rows and those compared with it, the pairs that reach the threshold."""
     table = table.sort_by([("lead", "descending")])
-    docs, sets = table.column("doc_id").to_pylist(), shingle_sets(table.column("text"), k)
-    a = next(sets)
+    docs, lead, leader, sets = table.column("doc_id").to_pylist(), table.column("lead").to_pylist(), [], shingle_sets(table.column("text"), k)
     out = []
-    for doc, b in zip(docs[1:], sets, strict=False):
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        if DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both):
-            out.append(doc)
+    for doc, first, b in zip(docs, lead, sets, strict=True):
+        if first:
+            leader.append(b)
+            continue
+        for a in leader:
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both):
+                out.append(doc)
+                break
     return pa.table({"u": pa.array([docs[0]] * len(out), pa.int64()), "v": pa.array(out, pa.int64())})
 
 
-def chosen(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of the documents in ``nodes``; up to MOST ids are sent to the executors, so that no other text moves, more are joined."""
-    ids = nodes.limit(MOST + 1).toArrow().column("doc_id").to_numpy()
-    if len(ids) > MOST:
-        return rows.join(nodes, "doc_id", "left_semi")
-    told = nodes.sparkSession.sparkContext.broadcast(np.sort(ids))
-
-    def wanted(batches):
-        for batch in batches:
-            doc, known = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), told.value
-            at = np.minimum(np.searchsorted(known, doc), max(len(known) - 1, 0))
-            keep = known[at] == doc if len(known) else np.zeros(len(doc), bool)
-            yield batch.filter(pa.array(keep & np.asarray(batch.column("doc_id").is_valid())))
-
-    return rows.mapInArrow(wanted, rows.schema)
-
-
 def components(edges: DataFrame, keep: Scratch) -> DataFrame:
     """(node, root) for every node of the edges (u, v); root is the smallest node that it reaches.
 
@@ -329,8 +314,8 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         parts = pairs.groupBy("u").agg((F.count(F.lit(1)) / 64).cast("long").alias("parts"))
         dealt = pairs.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts") + 1))
         want = dealt.select("u", "part", F.col("v").alias("doc_id"), F.lit(0).alias("lead")).unionByName(dealt.select("u", "part", F.col("u").alias("doc_id"), F.lit(1).alias("lead")).distinct())
-        nodes = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        return chosen(rows, nodes).join(want, "doc_id").groupBy("u", "part").applyInArrow(lambda t: _verified(t, k), "u long, v long")
+        # One exchange of the texts by id at every size, however few pairs there are; only those compared move on.
+        return rows.join(want.hint("merge"), "doc_id").groupBy("u", "part").applyInArrow(lambda t: _verified(t, k), "u long, v long")
 
     def standing(frame: DataFrame, *names: str) -> DataFrame:
         """The frame with the ids of equal sets' documents replaced by the smallest."""
