@@ -80,7 +80,9 @@ def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEM
     ordered = ordered_templates(docs, templates)
     least = [max(1, math.ceil(threshold * len(t) - 1e-9)) for t in ordered]
     prefix = [(w, i, p, len(t), a, t) for i, (t, a) in enumerate(zip(ordered, least, strict=True)) for p, w in enumerate(t[: len(t) - a + 1])]
-    table = spark.createDataFrame(prefix, "word string, template int, place int, size int, least int, wording array<string>")
+    names = ("word", "template", "place", "size", "least")
+    lines = [F.struct(*[F.lit(x).alias(n) for n, x in zip(names, p[:5], strict=True)], _strings(p[5]).alias("wording")) for p in prefix]
+    table = spark.range(1).select(F.inline(F.array(*lines)))
     first_words = _strings(sorted({p[0] for p in prefix}))
     blocks = _blocks(docs).where(F.arrays_overlap("words", first_words) & (F.size("words") >= min(least)))
     seeds = blocks.withColumn("word", F.explode(F.array_intersect("words", first_words)))
