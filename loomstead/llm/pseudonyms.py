@@ -58,6 +58,11 @@ def _sub(s, start, length) -> Column:
     return s.substr(wrap(start), wrap(length))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _digest(key: str, kind: str, r, other) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), other.cast("string")), 512)
 
@@ -69,7 +74,7 @@ def _number(digest, start: int, digits: int) -> Column:
 def _shifted(part: Column, digest: Column, hexadecimal: bool) -> Column:
     """Each character of part moved within its alphabet by its own 16 bits of the digest; at most 32 characters."""
 
-    def one(i):
+    def one(i, digest):
         c = _sub(part, i, F.lit(1))
         by = F.conv(_sub(digest, (i - 1) * 4 + 1, F.lit(4)), 16, 10).cast("int")
         if hexadecimal:
@@ -79,13 +84,13 @@ def _shifted(part: Column, digest: Column, hexadecimal: bool) -> Column:
         moved = lambda low, n: F.char((a - low + by) % n + low)
         return F.when(a < 58, moved(48, 10)).when(a < 91, moved(65, 26)).otherwise(moved(97, 26))
 
-    return F.when(F.char_length(part) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(part), F.lit(1))), one), "")).otherwise(F.lit(""))
+    return F.when(F.char_length(part) > 0, _let(digest, lambda d: F.array_join(F.transform(_chars(part), lambda i: one(i, d)), ""))).otherwise(F.lit(""))
 
 
 def permuted_text(value: Column, key: str, kind: str, hexadecimal: bool = False) -> Column:
     """A keyed permutation of the strings of letters and digits of one shape, up to 64 characters."""
-    half = (F.char_length(value) / 2).cast("int")
-    start = F.struct(_sub(value, F.lit(1), half).alias("l"), _sub(value, half + 1, F.char_length(value)).alias("r"))
+    half = lambda v: (F.char_length(v) / 2).cast("int")
+    start = _let(value, lambda v: F.struct(_sub(v, F.lit(1), half(v)).alias("l"), _sub(v, half(v) + 1, F.char_length(v)).alias("r")))
 
     def step(s, r):
         even = r % 2 == 0
@@ -98,7 +103,7 @@ def permuted_text(value: Column, key: str, kind: str, hexadecimal: bool = False)
 
 def permuted_number(value: Column, a: int, b: int, key: str, kind: str) -> Column:
     """A keyed permutation of 0 .. a*b-1."""
-    start = F.struct((value / b).cast("bigint").alias("l"), (value % b).cast("bigint").alias("r"))
+    start = _let(value, lambda v: F.struct((v / b).cast("bigint").alias("l"), (v % b).cast("bigint").alias("r")))
 
     def step(s, r):
         even = r % 2 == 0
@@ -117,47 +122,47 @@ def _chars(s: Column) -> Column:
 def _luhn(digits: Column, at_end: int) -> Column:
     """The Luhn sum; at_end is 0 with the check digit and 1 without."""
 
-    def add(total, i):
-        d = F.ascii(_sub(digits, i, F.lit(1))) - 48
-        twice = (F.char_length(digits) - i + at_end) % 2 == 1
+    def add(total, i, s):
+        d = F.ascii(_sub(s, i, F.lit(1))) - 48
+        twice = (F.char_length(s) - i + at_end) % 2 == 1
         return total + F.when(twice & (d > 4), d * 2 - 9).when(twice, d * 2).otherwise(d)
 
-    return F.aggregate(_chars(digits), F.lit(0), add)
+    return _let(digits, lambda s: F.aggregate(_chars(s), F.lit(0), lambda total, i: add(total, i, s)))
 
 
 def _mod97(s: Column) -> Column:
-    def add(total, i):
+    def add(total, i, s):
         a = F.ascii(_sub(s, i, F.lit(1)))
         return F.when(a < 58, (total * 10 + a - 48) % 97).otherwise((total * 100 + a - 55) % 97)
 
-    return F.aggregate(_chars(s), F.lit(0), add)
+    return _let(s, lambda x: F.aggregate(_chars(x), F.lit(0), lambda total, i: add(total, i, x)))
 
 
 def _into(original: Column, new: Column) -> Column:
     """original with its letters and digits replaced, in order, by those of new."""
 
-    def one(i):
-        c = _sub(original, i, F.lit(1))
-        nth = F.char_length(F.regexp_replace(_sub(original, F.lit(1), i), "[^0-9A-Za-z]", ""))
-        return F.when(c.rlike("[0-9A-Za-z]"), _sub(new, nth, F.lit(1))).otherwise(c)
+    def one(i, x):
+        c = _sub(x["old"], i, F.lit(1))
+        nth = F.char_length(F.regexp_replace(_sub(x["old"], F.lit(1), i), "[^0-9A-Za-z]", ""))
+        return F.when(c.rlike("[0-9A-Za-z]"), _sub(x["new"], nth, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(_chars(original), one), "")
+    return _let(F.struct(original.alias("old"), new.alias("new")), lambda x: F.array_join(F.transform(_chars(x["old"]), lambda i: one(i, x)), ""))
 
 
 def _card(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     body = permuted_text(_sub(digits, F.lit(1), F.char_length(digits) - 1), key, "card")
-    check = (F.lit(10) - _luhn(body, 1) % 10) % 10
-    return F.when(_luhn(digits, 0) % 10 == 0, _into(m, F.concat(body, check.cast("string")))).otherwise(m)
+    check = lambda b: ((F.lit(10) - _luhn(b, 1) % 10) % 10).cast("string")
+    return F.when(_luhn(digits, 0) % 10 == 0, _into(m, _let(body, lambda b: F.concat(b, check(b))))).otherwise(m)
 
 
 def _iban(m: Column, key: str) -> Column:
     plain = F.replace(m, F.lit(" "), F.lit(""))
     country, account = _sub(plain, 1, 2), _sub(plain, F.lit(5), F.char_length(plain))
     moved = permuted_text(account, key, "iban")
-    check = F.lpad((F.lit(98) - _mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
+    check = lambda a: F.lpad((F.lit(98) - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0")
     valid = (_mod97(F.concat(account, _sub(plain, 1, 4))) == 1) & (F.char_length(plain) <= 34)
-    return F.when(valid, _into(m, F.concat(country, check, moved))).otherwise(m)
+    return F.when(valid, _into(m, _let(moved, lambda a: F.concat(country, check(a), a)))).otherwise(m)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -167,16 +172,23 @@ def _date(m: Column, key: str) -> Column:
     made = lambda mm, dd: F.try_to_date(F.concat_ws("-", year, F.lpad(mm, 2, "0"), F.lpad(dd, 2, "0")), "yyyy-MM-dd")
     dmy = made(part(2), part(1))
     day = F.when(ymd, made(part(2), part(3))).otherwise(F.coalesce(dmy, made(part(1), part(2))))
-    days = F.datediff(day, F.lit("1800-01-01").cast("date"))
-    era = F.floor(days / 146097)  # the Gregorian calendar repeats after 400 years of 146,097 days
-    new = F.date_add(F.lit("1800-01-01").cast("date"), (era * 146097 + permuted_number(days - era * 146097, 189, 773, key, "date")).cast("int"))
+    first = F.lit("1800-01-01").cast("date")
+
+    def moved(days):
+        era = F.floor(days / 146097)  # the Gregorian calendar repeats after 400 years of 146,097 days
+        return F.date_add(first, (era * 146097 + permuted_number(days - era * 146097, 189, 773, key, "date")).cast("int"))
+
     wide = lambda x, like: F.lpad(x.cast("string"), F.char_length(like), F.lit("0"))
     loose = (F.char_length(part(2)) == 1) | (F.when(ymd, F.char_length(part(3))).otherwise(F.char_length(part(1))) == 1)
     two = lambda x: F.when(loose, x.cast("string")).otherwise(F.lpad(x.cast("string"), 2, "0"))
     s1, s2 = F.regexp_extract(m, r"([-/.])", 1), F.regexp_extract(m, r"[-/.][0-9]+([-/.])", 1)
-    y, mo, d = wide(F.year(new), year), two(F.month(new)), two(F.dayofmonth(new))
-    out = F.when(ymd, F.concat(y, s1, mo, s2, d)).when(dmy.isNotNull(), F.concat(d, s1, mo, s2, y)).otherwise(F.concat(mo, s1, d, s2, y))
-    return F.when(day.isNotNull() & (s1 == s2) & F.year(new).between(1000, 9999), out).otherwise(m)
+
+    def out(new):
+        y, mo, d = wide(F.year(new), year), two(F.month(new)), two(F.dayofmonth(new))
+        made = F.when(ymd, F.concat(y, s1, mo, s2, d)).when(dmy.isNotNull(), F.concat(d, s1, mo, s2, y)).otherwise(F.concat(mo, s1, d, s2, y))
+        return F.when(new.isNotNull() & F.year(new).between(1000, 9999), made).otherwise(m)
+
+    return F.when(s1 == s2, _let(_let(F.datediff(day, first), moved), out)).otherwise(m)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -185,10 +197,13 @@ def _ssn(m: Column, key: str) -> Column:
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     index = (area - F.when(area > 666, 2).otherwise(1)).cast("bigint") * 989901 + (group - 1) * 9999 + (serial - 1)
     new = permuted_number(index, 898, 989901, key, "ssn")
-    a, rest = F.floor(new / 989901), new % 989901
     pad = lambda x, k: F.lpad(x.cast("string"), k, "0")
-    out = F.concat(pad(a + F.when(a >= 665, 2).otherwise(1), 3), F.lit("-"), pad(F.floor(rest / 9999) + 1, 2), F.lit("-"), pad(rest % 9999 + 1, 4))
-    return F.when(valid, out).otherwise(m)
+
+    def out(new):
+        a, rest = F.floor(new / 989901), new % 989901
+        return F.concat(pad(a + F.when(a >= 665, 2).otherwise(1), 3), F.lit("-"), pad(F.floor(rest / 9999) + 1, 2), F.lit("-"), pad(rest % 9999 + 1, 4))
+
+    return F.when(valid, _let(new, out)).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -196,8 +211,8 @@ def _ip(m: Column, key: str) -> Column:
     octet = lambda i: F.get(parts, F.lit(i)).cast("bigint")
     valid = F.forall(parts, lambda p: p.rlike("^(0|[1-9][0-9]{0,2})$") & (p.cast("int") < 256))
     new = permuted_number(octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3), 65536, 65536, key, "ip")
-    out = F.concat_ws(".", *[(F.shiftright(new, s) % 256).cast("string") for s in (24, 16, 8, 0)])
-    return F.when(valid, out).otherwise(m)
+    out = lambda new: F.concat_ws(".", *[(F.shiftright(new, s) % 256).cast("string") for s in (24, 16, 8, 0)])
+    return F.when(valid, _let(new, out)).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
