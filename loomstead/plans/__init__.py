@@ -1,6 +1,6 @@
 """The registered queries."""
 
 from ..registry import QUERIES, SQL
-from . import measures, scans, store_cycles  # noqa: F401
+from . import cluster, measures, scans, store_cycles  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]
