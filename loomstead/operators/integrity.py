@@ -124,3 +124,54 @@ def scrub_report(results: DataFrame) -> DataFrame:
     """Totals of scrub results; skipped rows count as neither healthy nor corrupt, their bytes count."""
     n = lambda c: F.count_if(c)
     return results.agg(F.count(F.lit(1)).alias("total"), n(F.col("outcome") == "healthy").alias("healthy"), n(F.col("outcome").isin("corrupt", "healed")).alias("corrupt"), n(F.col("outcome") == "healed").alias("healed"), F.sum("size").alias("bytes"))
+
+
+def parity_section(blobs: DataFrame, k: int = 4, m: int = 2, strip: int = 256) -> DataFrame:
+    """Digests of the k data and m parity shards of every complete stripe; an incomplete last one has none."""
+    size = blobs.select("object_key", F.floor(F.octet_length("data") / (k * strip)).alias("whole"))
+    shards = erasure_encode(blobs, k, m, strip).join(size, "object_key").where(F.col("stripe") < F.col("whole"))
+    return shards.select("object_key", "stripe", "shard_idx", F.sha2("data", 256).alias("hash"))
+
+
+def verify_and_repair(shards: DataFrame, hashes: DataFrame, k: int = 4, m: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(per stripe how many shards are corrupt and whether it can be repaired, data of the stripes that can be).
+
+    Shards whose digest differs, or that are missing, are corrupt. Up to m of a stripe are made anew from the others.
+    """
+    here = shards.select("object_key", "stripe", "shard_idx", "data", F.sha2("data", 256).alias("now"))
+    seen = hashes.join(here, ["object_key", "stripe", "shard_idx"], "left").withColumn("good", F.col("hash").eqNullSafe(F.col("now")))
+    per = seen.groupBy("object_key", "stripe").agg(F.count_if(~F.col("good")).alias("corrupt")).withColumn("repairable", F.col("corrupt") <= m)
+    whole = seen.where("good").join(per.where("repairable").select("object_key", "stripe"), ["object_key", "stripe"], "left_semi")
+    return per, erasure_decode(whole.select("object_key", "stripe", "shard_idx", "data"), k, m)
+
+
+def merkle_proofs(base: DataFrame, depth: int) -> DataFrame:
+    """object_key, idx, hash and siblings (level, on which side, hash) of every leaf; a missing sibling gives none."""
+    levels = merkle_levels(base, depth).select("object_key", "level", F.col("idx").alias("at"), F.col("hash").alias("sibling"))
+    step = base.select("object_key", "idx", "hash", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"))
+    step = step.withColumn("at", F.expr("shiftright(idx, level) ^ 1"))
+    found = step.join(levels, ["object_key", "level", "at"], "left")
+    row = F.when(F.col("sibling").isNotNull(), F.struct("level", (F.col("at") % 2 == 0).alias("left"), "sibling"))
+    return found.groupBy("object_key", "idx", "hash").agg(F.sort_array(F.collect_list(row)).alias("siblings"))
+
+
+def proven_root(leaf: str = "hash", siblings: str = "siblings") -> F.Column:
+    """The root that a leaf and its siblings lead to."""
+    both = lambda a, b: F.sha2(F.concat(F.unhex(a), F.unhex(b)), 256)
+    return F.aggregate(siblings, F.col(leaf), lambda h, s: F.when(s["left"], both(s["sibling"], h)).otherwise(both(h, s["sibling"])))
+
+
+def tree_divergence(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(tree, node) of the leaves of heap-ordered trees that are reached from the root through differing nodes.
+
+    A node that they lack differs, but a leaf is reported only if they have it. Each leaf looks up its
+    path to the root, so one join serves all depths.
+    """
+    state = ours.join(theirs.select("tree", "node", F.col("hash").alias("other")), ["tree", "node"], "left")
+    state = state.select("tree", "node", (~F.col("hash").eqNullSafe(F.col("other"))).alias("differs"), F.col("other").isNotNull().alias("known"))
+    size = ours.groupBy("tree").agg((F.max("node") + 1).alias("n"))
+    leaf = state.where("differs and known").join(size, "tree").where("2 * node + 1 >= n").select("tree", "node")
+    up = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.floor((F.col("node") + 1) / F.pow(F.lit(2.0), i)).cast("long") - 1)
+    path = leaf.select("tree", "node", F.explode(F.filter(up, lambda x: x >= 0)).alias("on"))
+    met = path.join(state.select("tree", F.col("node").alias("on"), "differs"), ["tree", "on"])
+    return met.groupBy("tree", "node").agg(F.bool_and("differs").alias("all")).where("all").select("tree", "node")

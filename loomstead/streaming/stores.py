@@ -40,3 +40,11 @@ def segment_states(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"segment_id": [key[0]], "state": [now or ""]})
 
     return events.groupBy("segment_id").applyInPandasWithState(step, "segment_id long, state string", "state string", "update", GroupStateTimeout.NoTimeout)
+
+
+def append_events(stream: DataFrame, path: str, checkpoint: str):
+    """Add a stream's events to a log of Parquet files, each exactly once; ends when all there are is written.
+
+    Run again and again, it is a periodic cycle: each run takes what came since the last.
+    """
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

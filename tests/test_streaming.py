@@ -37,3 +37,11 @@ def test_segment_states(spark, tmp_path):
     out = {}
     stores.segment_states(stream).writeStream.foreachBatch(lambda b, _: out.update({r.segment_id: r.state for r in b.collect()})).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     assert out == {i: "Deleted" if (i + 40) % 3 == 0 else "Sealed" for i in range(20)}
+
+
+def test_events_are_appended_once(spark, tmp_path):
+    source, log, mark = (str(tmp_path / x) for x in ("in", "log", "mark"))
+    for k in range(2):  # a cycle takes only what came since the last
+        spark.range(10 * k, 10 * k + 10).write.mode("append").parquet(source)
+        stores.append_events(spark.readStream.schema("id long").parquet(source), log, mark).awaitTermination(120)
+        assert sorted(r.id for r in spark.read.parquet(log).collect()) == list(range(10 * k + 10))
