@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.score_texts(_table(spark, sf_dir, "documents"))
+    return suffix_tree.score_texts(_table(spark, sf_dir, "documents"), depth=suffix_tree.DEPTH)
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,22 +2,23 @@
 
 Symbols are words (A-Z lower-cased) and an end symbol that closes every text
 and stands before its first word. The root's distribution is that of all words
-of the training texts, (c + 1/2) / (N + (V + 1) / 2). Contexts of one and two
-words are states of the tree if they are frequent (P_MIN) and if a divergence
-test finds that their next words differ from those of their suffix:
+of the training texts, (c + 1/2) / (N + (V + 1) / 2). Contexts of up to
+``depth`` words are states of the tree if a divergence test finds that their
+next words differ from those of their suffix:
 sum over next words of p(w | s) ln (p(w | s) / p(w | suffix)) >= DIVERGENCE.
-A state's distribution keeps next words seen often enough, discounts each, and
-gives what is left to the distribution of its longest suffix in the tree. A
-text's score is the sum of log10 p(word | longest suffix state).
-
-Counts go over all training texts. P_MIN, a parameter of the method, bounds
-the words, states and next words that a tree can hold by 1 / P_MIN each,
-whatever the size of the corpus; only these are sent to the executors. All
-other words are rare: below every state they have the root's probability times
-the weights of the states passed, so their part of a text's score is found by
-a shuffle of (hash, document) pairs, packed per task and bucket, to where the
-counts of all words are. Neither a vocabulary nor a corpus count comes to the
-driver.
+A state's distribution keeps next words seen often enough (LEAST times),
+discounts each, and gives what is left to the distribution of its longest
+suffix in the tree. A text's score is the sum of log10 p(word | longest suffix
+state).
+
+Counts go over all training texts. LEAST doesn't depend on the corpus, so the
+tree grows with it; it is held as tables, and neither words nor states come to
+the driver or are broadcast. log p(word | longest suffix state) is the sum of
+the root's log p(word), the log weights of the states that end before the word,
+and, for each kept next word, what it adds to its suffix's log p less that
+weight. Every such term belongs to one run of words, so a text's score is found
+by a shuffle of (hash of run, text) pairs, packed per task and bucket, to where
+the terms are, a length of runs at a time.
 
 Results for odd input: a null text is empty, that is one end symbol; a null
 doc_id is in the training texts and not held out; rows are scored one by one,
@@ -27,23 +28,27 @@ probabilities are 1; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Lookup, packed, slices, word_hashes
+from .kernel import mix, packed, slices, word_hashes
 from .scratch import Scratch, remainder, texts
 
-P_MIN, LEAST, DISCOUNT, DIVERGENCE = 1e-6, 3, 0.75, 0.02
+LEAST, DISCOUNT, DIVERGENCE = 3, 0.75, 0.02
+#: Words in the longest contexts of the query.
+DEPTH = 3
 #: The end symbol's hash; no word has it but by chance.
 END = np.uint64(0x8F1BBCDC5A827999)
 #: Counts or pairs that a task packs at a time, and about how many make a bucket.
 BLOCK, BUCKET = 1 << 21, 1 << 22
+#: Texts with the same uid >> RUN are put together at the end.
+RUN = 12
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -54,6 +59,23 @@ def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield i, j, out, begin + np.arange(len(begin))
 
 
+def runs(h: np.ndarray, begin: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where runs of ``order`` symbols end, and the hashes of each run, of it without its last and without its first symbol."""
+    key, left, right = h, h, h
+    for n in range(2, order + 1):
+        left, right = np.empty_like(key), key
+        left[1:] = key[:-1]
+        if n == 2:
+            left[begin[:-1]] = END
+        key = joined(left, right)
+    at = np.flatnonzero(np.arange(len(h)) - np.repeat(begin[:-1], np.diff(begin)) >= order - 2)
+    return at, key[at], left[at], right[at]
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _ODD + right)
+
+
 def _by_bucket(keys: np.ndarray, buckets: int, *others: np.ndarray):
     """(bucket, keys, others) sorted by bucket."""
     bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
@@ -64,254 +86,222 @@ def _by_bucket(keys: np.ndarray, buckets: int, *others: np.ndarray):
         yield int(b), keys[part], *[x[part] for x in others]
 
 
-COUNTS = "bucket long, keys binary, counts binary"
-_PACKED = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+
+
+def _schema(names: str) -> pa.Schema:
+    return pa.schema([(n, _KINDS[k]) for n, k in (x.split(" ") for x in names.split(", "))])
+
+
+def _rows(names: str, n: int, **columns) -> pa.RecordBatch:
+    """n rows with the given columns, nulls elsewhere."""
+    schema = _schema(names)
+    return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _count(batches: Iterator[pa.RecordBatch], keys_of, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Counts of what keys_of gives for each slice, combined per block and packed by bucket."""
+def _packed_rows(names: str, rows: list[tuple], **same) -> pa.RecordBatch:
+    """Rows of values of the columns that ``same`` doesn't give."""
+    columns = [x.split(" ")[0] for x in names.split(", ")]
+    given = dict(zip([c for c in columns if c not in same], zip(*rows, strict=True), strict=False))
+    return _rows(names, len(rows), **given, **{k: [v] * len(rows) for k, v in same.items()})
+
+
+COUNTS = "bucket long, lefts binary, rights binary, counts binary"
+
+
+def _count(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of runs of ``order`` symbols, combined per block and packed by bucket; a word is its own right side."""
     held, size = [], 0
 
     def block():
         nonlocal held, size
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        key, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
         held, size = [], 0
-        rows = [(b, packed(k), packed(c.astype(np.uint32))) for b, k, c in _by_bucket(keys, buckets, n)]
-        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
+        key, first, n = np.unique(key, return_index=True, return_counts=True)
+        left = left[first] if order > 1 else left[:0]
+        rows = [(b, packed(x) if order > 1 else b"", packed(y), packed(c)) for b, _, x, y, c in _by_bucket(key, buckets, left if order > 1 else key, right[first], n.astype(np.uint32))]
+        return _packed_rows(COUNTS, rows)
 
     for batch in batches:
         for _, _, h, begin in sequences(batch.column("text")):
-            keys = keys_of(h, begin)
-            if len(keys):
-                held.append(keys)
-                size += len(keys)
+            _, *found = runs(h, begin, order)
+            if len(found[0]):
+                held.append(found)
+                size += len(found[0])
             if size >= BLOCK:
                 yield block()
     if held:
         yield block()
 
 
-def _merge(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-    n = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]).astype(np.int64)
+def _merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their sums, and where each is first."""
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
-    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[edge], np.add.reduceat(n, edge)
-
-
-def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of at least ``least``; there are at most total / least."""
+    edge = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+    return keys[edge], np.add.reduceat(n, edge) if len(n) else n, order[edge]
 
-    def chosen(batches):
-        for batch in batches:
-            for keys, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                k, c = np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64)
-                take = c >= least
-                if take.any():
-                    yield pa.record_batch([pa.array([packed(k[take])], pa.binary()), pa.array([packed(c[take])], pa.binary())], names=["keys", "counts"])
 
-    rows = counts.select("keys", "counts").mapInArrow(chosen, "keys binary, counts binary").collect()
-    keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r[0], np.uint64) for r in rows]])
-    n = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r[1], np.int64) for r in rows]])
-    order = np.argsort(keys)
-    return keys[order], n[order]
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in table.column(name).to_pylist()]])
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    keys, n = _merge(table.to_pylist())
-    return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": pa.array([packed(keys)], pa.binary()), "counts": pa.array([packed(n)], pa.binary()), "total": [int(n.sum())], "distinct": [len(n)]})
+WORDS = "bucket long, keys binary, counts binary, total long, distinct long"
 
 
-SUMMED = COUNTS + ", total long, distinct long"
+def _summed_words(table: pa.Table) -> pa.Table:
+    keys, n, _ = _merge(_column(table, "rights", np.uint64), _column(table, "counts", np.uint32).astype(np.int64))
+    return pa.Table.from_batches([_rows(WORDS, 1, bucket=table.column("bucket").slice(0, 1).to_pylist(), keys=[packed(keys)], counts=[packed(n)], total=[int(n.sum())], distinct=[len(n)])])
 
 
-class Tree:
-    """States, next words and weights, as arrays.
+NEXTS = "key long, ctx long, suffix long, c long"
 
-    Words have numbers (positions in ``words``). A next word of a one-word state has
-    the key (state word, word), of a two-word state (place of the pair among the
-    one-word states' keys, word).
-    """
 
-    def __init__(self, words, counts, total: int, distinct: int):
-        self.words, self.counts = Lookup(words), counts
-        self.root = (counts + 0.5) / (total + 0.5 * (distinct + 1)) if total else np.ones(len(counts))
-        self.end = int(self.words.find(np.array([END]))[0])
-        n = len(counts)
-        self.first, self.weight1, self.p1 = Lookup(np.zeros(0, np.uint64)), np.ones(n), np.zeros(0)
-        self.second, self.weight2, self.p2 = Lookup(np.zeros(0, np.uint64)), np.ones(0), np.zeros(0)
-        self.is2 = np.zeros(0, bool)
-
-    def numbers(self, h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each symbol's number, or -1 if rare, and the number before it (the end symbol's at a text's start)."""
-        x = self.words.find(h).astype(np.int64)
-        before = np.empty_like(x)
-        before[1:] = x[:-1]
-        before[begin[:-1]] = self.end
-        return x, before
-
-    @staticmethod
-    def _state(part, n_states: int, c, context, suffix_p):
-        """Weights, probabilities and which states pass: c of (state part, next word), context counts, p under the suffix."""
-        kept = np.bincount(part, c - DISCOUNT, n_states)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight = np.where(context > 0, 1 - kept / np.maximum(context, 1), 1.0)
-            p = (c - DISCOUNT) / context[part] + weight[part] * suffix_p
-            gain = np.bincount(part, c * np.log(p / suffix_p), n_states)
-            rest = np.maximum(context - np.bincount(part, c, n_states), 0)
-            gain += rest * np.log(np.maximum(weight, 1e-300))
-            passed = (context > 0) & (gain / np.maximum(context, 1) >= DIVERGENCE)
-        return np.where(passed, weight, 1.0), np.where(passed[part], p, suffix_p), passed
-
-    def grow_first(self, keys, c):
-        """One-word states from the counts of pairs of frequent words."""
-        part, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.first, self.first_counts, self.first_word = Lookup(keys), c, word
-        self.weight1, self.p1, self.is1 = self._state(part, len(self.counts), c.astype(float), self.counts.astype(float), self.root[word])
-        self.weight2, self.is2 = np.ones(len(keys)), np.zeros(len(keys), bool)
-
-    def after(self, before, x):
-        """p(x | before) and the place of the pair among the kept ones, for frequent x."""
-        both = (before >= 0) & (x >= 0)
-        at = np.full(len(x), -1, np.int64)
-        at[both] = self.first.find(before[both].astype(np.uint64) << np.uint64(32) | x[both].astype(np.uint64))
-        p = np.where(x >= 0, self.root[np.maximum(x, 0)], 1.0) if len(self.root) else np.ones(len(x))
-        if len(self.weight1):
-            p = p * np.where(before >= 0, self.weight1[np.maximum(before, 0)], 1.0)
-        if len(self.p1):
-            p = np.where(at >= 0, self.p1[np.maximum(at, 0)], p)
-        return p, at
-
-    def grow_second(self, keys, c):
-        """Two-word states from the counts of (kept pair, frequent word)."""
-        part, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        suffix_p, _ = self.after(self.first_word[part], word)
-        self.second = Lookup(keys)
-        self.weight2, self.p2, self.is2 = self._state(part, len(self.first_counts), c.astype(float), self.first_counts.astype(float), suffix_p)
-
-    def score(self, h, begin):
-        """log10 p of every symbol given its longest suffix state, without the root's factor for rare symbols; which are rare."""
-        x, before = self.numbers(h, begin)
-        p, at = self.after(before, x)
-        pair = np.full(len(x), -1, np.int64)  # the kept pair that ends before the symbol
-        pair[1:] = at[:-1]
-        pair[begin[:-1]] = -1
-        state = (pair >= 0) & self.is2[np.maximum(pair, 0)] if len(self.is2) else np.zeros(len(x), bool)
-        if state.any():
-            p = p * np.where(state, self.weight2[np.maximum(pair, 0)], 1.0)
-            ask = np.flatnonzero(state & (x >= 0))
-            hit = self.second.find(pair[ask].astype(np.uint64) << np.uint64(32) | x[ask].astype(np.uint64))
-            p[ask[hit >= 0]] = self.p2[hit[hit >= 0]]
-        return np.log10(p), x
+def _summed(table: pa.Table, least: float) -> pa.Table:
+    """Runs counted at least ``least`` times, a row each."""
+    left, right = _column(table, "lefts", np.uint64), _column(table, "rights", np.uint64)
+    keys, n, first = _merge(joined(left, right), _column(table, "counts", np.uint32).astype(np.int64))
+    take = n >= least
+    return pa.Table.from_batches([_rows(NEXTS, int(take.sum()), key=keys[take].view(np.int64), ctx=left[first[take]].view(np.int64), suffix=right[first[take]].view(np.int64), c=n[take])])
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-SENT = "bucket long, kind int, source long, keys binary, counts binary, docs binary, uid long, " + SCORED
-BACK = "source long, docs binary, known binary, logs binary, uid long, " + SCORED
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+def _unpacked(batches, least: float, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
+    """Words counted at least ``least`` times, a row each, with the root's ln p."""
+    for batch in batches:
+        for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            keys, n = np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)
+            take = n >= least
+            yield _rows("key long, c long, logp double", int(take.sum()), key=keys[take], c=n[take], logp=np.log((n[take] + 0.5) / (total + 0.5 * (distinct + 1))))
+
+
+def grown(nexts: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Next words (key, c, logp, value) of contexts that are runs in ``below`` (key, c, logp), and the states' (key, value)."""
+    seen = nexts.groupBy("ctx").agg(F.sum(F.col("c") - DISCOUNT).alias("kept"), F.sum("c").alias("seen"))
+    states = seen.join(below.select(F.col("key").alias("ctx"), F.col("c").alias("context")), "ctx").withColumn("weight", F.expr("1 - kept / context"))
+    rows = nexts.join(below.select(F.col("key").alias("suffix"), F.col("logp").alias("lower")), "suffix").join(states, "ctx")
+    rows = rows.withColumn("upper", F.ln((F.col("c") - DISCOUNT) / F.col("context") + F.col("weight") * F.exp("lower")))
+    rest = F.first("context") - F.first("seen")
+    gain = rows.groupBy("ctx").agg((F.sum(F.expr("c * (upper - lower)")) + rest * F.ln(F.first("weight"))).alias("gain"), F.first("context").alias("context"), F.first("weight").alias("weight"))
+    passed = gain.where(F.col("gain") / F.col("context") >= DIVERGENCE).select("ctx", "weight")
+    kept = rows.drop("weight").join(passed.withColumnRenamed("weight", "w"), "ctx", "left")
+    logp = F.when(F.col("w").isNotNull(), F.col("upper")).otherwise(F.col("lower"))
+    added = F.when(F.col("w").isNotNull(), F.col("upper") - F.col("lower") - F.ln("w")).otherwise(0.0)
+    return kept.select("key", "c", logp.alias("logp"), added.alias("value")), passed.select(F.col("ctx").alias("key"), F.ln("weight").alias("value"))
+
+
+SENT = "bucket long, kind int, source long, keys binary, counts binary"
+BACK = "source long, docs binary, known binary, base binary, score binary"
+TEXTS = "source long, uid long, doc_id long, held_out boolean, n_tokens long"
+
+
+def _values(batches, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Kind 2: (key, value) rows packed by bucket."""
+    held, size = [], 0
 
+    def block():
+        nonlocal held, size
+        keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+        held, size = [], 0
+        return _packed_rows(SENT, [(b, packed(k), packed(v)) for b, k, v in _by_bucket(keys, buckets, values)], kind=2, source=0)
 
-def _schema(names: str) -> pa.Schema:
-    return pa.schema([(n, _KINDS[k]) for n, k in (x.split(" ") for x in names.split(", "))])
+    for batch in batches:
+        if batch.num_rows:
+            held.append((np.asarray(batch.column("key")).view(np.uint64), np.asarray(batch.column("value")) / math.log(10)))
+            size += batch.num_rows
+        if size >= BLOCK:
+            yield block()
+    if held:
+        yield block()
 
 
-def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
-    """n rows with the given columns, nulls elsewhere."""
-    return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+def _texts(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        uid, fold = np.asarray(batch.column("uid")), np.asarray(batch.column("fold"))
+        for i, j, _, begin in sequences(batch.column("text")):
+            yield _rows(TEXTS, j - i, source=uid[i:j] >> RUN, uid=uid[i:j], doc_id=batch.column("doc_id").slice(i, j - i), held_out=fold[i:j] == 1, n_tokens=np.diff(begin))
 
 
-def _score(batches, told, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Of each run of texts (a source): kind 2, a row per text without its rare words; kind 1, packed (rare word, text) pairs by bucket."""
-    tree, schema = told.value, _schema(SENT)
-    source = TaskContext.get().partitionId() << 24
-    held, texts_held, size = [], [], 0
+def _asks(batches, order: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Kind 1: packed (run, times, text) by source and bucket, where the text is its place in the source."""
+    held, size = [], 0
 
     def flush():
-        nonlocal held, texts_held, size, source
-        part = {k: np.concatenate([t[k] for t in texts_held]) for k in ("uid", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        ids = pa.concat_arrays([t["doc_id"] for t in texts_held])
-        n = len(ids)
-        yield _rows(schema, n, bucket=np.full(n, source % buckets), kind=np.full(n, 2, np.int32), source=np.full(n, source), doc_id=ids, **part)
-        if held:
-            keys, c = np.concatenate([k for k, _, _ in held]), np.concatenate([c for _, c, _ in held]).astype(np.uint16)
-            doc = np.repeat(np.array([u for _, _, u in held], np.int64), [len(k) for k, _, _ in held])
-            rows = []
-            for b, k, times, d in _by_bucket(keys, buckets, c, doc):
-                who, at = np.unique(d, return_inverse=True)
-                rows.append((b, packed(k), packed(np.concatenate([times, at.astype(np.uint16)])), packed(who)))
-            b, k, times, d = zip(*rows, strict=True)
-            yield _rows(schema, len(b), bucket=b, kind=[1] * len(b), source=[source] * len(b), keys=k, counts=times, docs=d)
-        held, texts_held, size, source = [], [], 0, source + 1
-
-    waiting = 0
+        nonlocal held, size
+        keys, times, uid = (np.concatenate(x) for x in zip(*held, strict=True))
+        held, size = [], 0
+        source = uid >> RUN
+        for s in np.unique(source):
+            mine = source == s
+            place = (uid[mine] & ((1 << RUN) - 1)).astype(np.uint16)
+            rows = [(b, packed(k), packed(np.concatenate([t, p]))) for b, k, t, p in _by_bucket(keys[mine], buckets, times[mine], place)]
+            yield _packed_rows(SENT, rows, kind=1, source=int(s))
+
     for batch in batches:
-        ids, uid, fold = batch.column("doc_id"), np.asarray(batch.column("uid")), np.asarray(batch.column("fold"))
+        uids = np.asarray(batch.column("uid"))
         for i, j, h, begin in sequences(batch.column("text")):
-            logs, x = tree.score(h, begin)
-            base = np.where(x >= 0, np.log10(tree.root[np.maximum(x, 0)]), 0.0) if len(tree.root) else np.zeros(len(x))
-            n = j - i
-            text_of = np.repeat(np.arange(n), np.diff(begin))
-            known = np.bincount(text_of, x >= 0, n).astype(np.int64)
-            texts_held.append({"doc_id": ids.slice(i, n), "uid": uid[i:j], "held_out": fold[i:j] == 1, "n_tokens": np.diff(begin), "n_known": known, "base_score": np.bincount(text_of, base, n), "score": np.bincount(text_of, logs, n)})
-            waiting += n
-            for t in range(n):
-                part = slice(begin[t], begin[t + 1])
-                rare, c = np.unique(h[part][x[part] < 0], return_counts=True)
-                while len(rare):  # counts beyond two bytes go as further pairs
-                    held.append((rare, np.minimum(c, 65535), int(uid[i + t])))
-                    size += len(rare)
-                    rare, c = rare[c > 65535], c[c > 65535] - 65535
-            if size >= BLOCK or waiting >= 30_000:
+            at, keys, _, _ = runs(h, begin, order)
+            uid = np.repeat(uids[i:j], np.diff(begin))[at]
+            _, first, c = np.unique(mix(keys + mix(uid.astype(np.uint64))), return_index=True, return_counts=True)
+            while len(first):  # counts beyond two bytes go as further pairs
+                held.append((keys[first], np.minimum(c, 65535).astype(np.uint16), uid[first]))
+                size += len(first)
+                first, c = first[c > 65535], c[c > 65535] - 65535
+            if size >= BLOCK:
                 yield from flush()
-                waiting = 0
-    if texts_held:
+    if held:
         yield from flush()
 
 
-def _answer(table: pa.Table, total: int, distinct: int) -> pa.Table:
-    """Texts pass through; packed pairs become packed sums of what they add to their texts, a row for a row."""
-    schema = _schema(BACK)
+def _answer(table: pa.Table, order: int, total: int, distinct: int) -> pa.Table:
+    """Packed asks become packed sums of what they add to their texts, a row for a row."""
     kind = np.asarray(table.column("kind"))
-    passed = table.filter(pa.array(kind == 2))
-    out = [pa.table({f.name: passed.column(f.name) if f.name not in ("known", "logs") else pa.nulls(len(passed), f.type) for f in schema}, schema=schema)]
-    counts = table.filter(pa.array(kind == 0)).select(["keys", "counts"]).to_pylist()
-    asks = table.filter(pa.array(kind == 1)).select(["source", "keys", "counts", "docs"]).to_pylist()
-    keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["keys"], np.uint64) for r in counts]])
-    n = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["counts"], np.int64) for r in counts]])
-    order = np.argsort(keys)  # the counts of a bucket have been summed: keys are distinct
-    keys, n = keys[order], n[order]
-    bottom = np.log10(total + 0.5 * (distinct + 1)) if total else 0.0
-    for r in asks:
-        k, both, docs = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.uint16), np.frombuffer(r["docs"], np.int64)
-        times, doc = both[: len(k)].astype(np.int64), both[len(k) :].astype(np.int64)
-        c = np.zeros(len(k), np.int64)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            c = np.where(keys[at] == k, n[at], 0)
-        log = np.log10(c + 0.5) - bottom if total else np.zeros(len(k))
-        known = np.bincount(doc, times * (c > 0), len(docs)).astype(np.int64)
-        out.append(pa.Table.from_batches([_rows(schema, 1, source=[r["source"]], docs=[r["docs"]], known=[packed(known)], logs=[packed(np.bincount(doc, times * log, len(docs)))])]))
-    return pa.concat_tables(out)
+    values, words = table.filter(pa.array(kind == 2)), table.filter(pa.array(kind == 0))
+    known_values = _merge(_column(values, "keys", np.uint64), _column(values, "counts", np.float64))[:2]
+    known_words = _merge(_column(words, "keys", np.uint64), _column(words, "counts", np.int64))[:2]
+
+    def found(known, k):
+        keys, n = known
+        if not len(keys):
+            return np.zeros(len(k), n.dtype)
+        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        return np.where(keys[at] == k, n[at], 0)
+
+    bottom = np.log10(total + 0.5 * (distinct + 1))
+    out = []
+    for r in table.filter(pa.array(kind == 1)).select(["source", "keys", "counts"]).to_pylist():
+        k, both = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.uint16)
+        times, (docs, doc) = both[: len(k)].astype(np.int64), np.unique(both[len(k) :], return_inverse=True)
+        score, base, known = found(known_values, k), np.zeros(len(k)), np.zeros(len(k), bool)
+        if order == 1 and total:
+            c = found(known_words, k)
+            known, base = c > 0, np.log10(c + 0.5) - bottom
+        sums = [packed(np.bincount(doc, times * x, len(docs))) for x in (known, base, score + base)]
+        out.append((r["source"], packed(docs), *sums))
+    return pa.Table.from_batches([_packed_rows(BACK, out)] if out else [], schema=_schema(BACK))
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _whole(table: pa.Table) -> pa.Table:
-    """The texts of one source with what all buckets have added; at most about BLOCK pairs."""
+    """The texts of one source with what all buckets have added."""
     is_text = table.column("uid").is_valid()
     own = table.filter(is_text).combine_chunks()
-    uid = own.column("uid").to_numpy()
-    known, logs = own.column("n_known").to_numpy().copy(), np.zeros(len(uid))
-    order = np.argsort(uid)
-    for r in table.filter(pc.invert(is_text)).select(["docs", "known", "logs"]).to_pylist():
-        at = order[np.searchsorted(uid[order], np.frombuffer(r["docs"], np.int64))]
-        known[at] += np.frombuffer(r["known"], np.int64)
-        logs[at] += np.frombuffer(r["logs"], np.float64)
-    add = {"n_known": known, "base_score": own.column("base_score").to_numpy() + logs, "score": own.column("score").to_numpy() + logs}
-    return pa.table({f.name: add.get(f.name, own.column(f.name)) for f in _schema(SCORED)}, schema=_schema(SCORED))
-
-
-def score_texts(docs: DataFrame, p_min: float = P_MIN) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    sums = {name: np.zeros(1 << RUN) for name in ("known", "base", "score")}
+    for r in table.filter(table.column("docs").is_valid()).select(["docs", *sums]).to_pylist():
+        at = np.frombuffer(r["docs"], np.uint16)
+        for name, x in sums.items():
+            x[at] += np.frombuffer(r[name], np.float64)
+    place = np.asarray(own.column("uid")) & ((1 << RUN) - 1)
+    columns = {c: own.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens")}
+    return pa.Table.from_batches([_rows(SCORED, len(own), **columns, n_known=sums["known"][place].astype(np.int64), base_score=sums["base"][place], score=sums["score"][place])])
+
+
+def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    With p_min, words, states and next words also need that share of the training symbols.
+    """
     spark, store = docs.sparkSession, Scratch(docs.sparkSession)
     rows = texts(docs).select("doc_id", "uid", "text", remainder(F.col("doc_id")).alias("fold"))
     training = rows.where("fold <> 1").select("text")
@@ -319,47 +309,40 @@ def score_texts(docs: DataFrame, p_min: float = P_MIN) -> DataFrame:
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(parts, size // (8 * BUCKET) + 1)
 
-    def counted(keys_of):
-        packed_counts = training.mapInArrow(lambda it: _count(it, keys_of, buckets), COUNTS)
-        return store.save(packed_counts.groupBy("bucket").applyInArrow(_summed, SUMMED))
+    def save(frame):
+        out = store.save(frame)
+        spark.sparkContext._jvm.System.gc()  # lets go of the shuffle's files
+        return out
+
+    def counted(order):
+        return training.mapInArrow(lambda it: _count(it, order, buckets), COUNTS).groupBy("bucket")
 
-    words = counted(lambda h, begin: h)
+    words = save(counted(1).applyInArrow(_summed_words, WORDS))
     total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     least = max(LEAST, p_min * total)
-    keys, n = _frequent(words, least)
-    tree = Tree(keys, n, total, distinct)
-    told = spark.sparkContext.broadcast(tree)
-
-    def pairs(h, begin, told=told):
-        x, before = told.value.numbers(h, begin)
-        both = (x >= 0) & (before >= 0)
-        return before[both].astype(np.uint64) << np.uint64(32) | x[both].astype(np.uint64)
-
-    if tree.end >= 0:
-        two = counted(pairs)
-        tree.grow_first(*_frequent(two, least))
-        store.drop(two)
-        told = spark.sparkContext.broadcast(tree)
-
-        def triples(h, begin, told=told):
-            tree = told.value
-            x, before = tree.numbers(h, begin)
-            _, at = tree.after(before, x)
-            pair = np.full(len(x), -1, np.int64)
-            pair[1:] = at[:-1]
-            pair[begin[:-1]] = -1
-            both = (x >= 0) & (pair >= 0)
-            return pair[both].astype(np.uint64) << np.uint64(32) | x[both].astype(np.uint64)
-
-        three = counted(triples)
-        tree.grow_second(*_frequent(three, least))
-        store.drop(three)
-        told = spark.sparkContext.broadcast(tree)
-
-    last = told
-    sent = rows.mapInArrow(lambda it: _score(it, last, buckets), SENT)
-    null = {name: F.lit(None).cast(kind).alias(name) for name, kind in (x.split(" ") for x in SENT.split(", "))}
-    known = words.select(*["bucket" if c == "bucket" else F.lit(0).alias("kind") if c == "kind" else c if c in ("keys", "counts") else null[c] for c in null])
-    answered = sent.unionByName(known).groupBy("bucket").applyInArrow(lambda t: _answer(t, total, distinct), BACK)
-    scored = answered.groupBy("source").applyInArrow(_whole, SCORED)
+    levels = [save(words.select("keys", "counts").mapInArrow(lambda it: _unpacked(it, least, total, distinct), "key long, c long, logp double"))]
+    states = []
+    for order in range(2, depth + 2):
+        nexts = save(counted(order).applyInArrow(lambda t: _summed(t, least), NEXTS))
+        kept, passed = grown(nexts, levels[-1])
+        levels.append(save(kept))
+        states.append(save(passed))
+        store.drop(nexts)
+
+    def summed(order):
+        terms = [x.select("key", "value") for x in (levels[order - 1 : order] if order > 1 else []) + states[order - 1 : order]]
+        sent = rows.select("uid", "text").mapInArrow(lambda it: _asks(it, order, buckets), SENT)
+        for x in terms:
+            sent = sent.unionByName(x.mapInArrow(lambda it: _values(it, buckets), SENT))
+        if order == 1:
+            sent = sent.unionByName(words.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("source"), "keys", "counts"))
+        return save(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, order, total, distinct), BACK))
+
+    sums = [summed(order) for order in range(1, depth + 2)]
+    store.drop(words, *levels, *states)
+
+    every = rows.mapInArrow(_texts, TEXTS)
+    for x in sums:
+        every = every.unionByName(x, allowMissingColumns=True)
+    scored = every.groupBy("source").applyInArrow(_whole, SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
