@@ -271,6 +271,13 @@ def group_by_owner(spark, d):
     return placement.by_owner(o.select("shard").distinct(), o).select("node_id", F.array_join("shards", ",").alias("shards"))
 
 
+@query("jon_10_group_by_owner_all", sql("SELECT node_id, string_agg(shard, ',' ORDER BY shard) AS shards FROM (SELECT DISTINCT key::VARCHAR AS shard, node_id FROM op_log WHERE key IS NOT NULL) GROUP BY node_id", "op_log"))
+def group_by_owner_all(spark, d):
+    """jon_10_group_by_owner over all keys."""
+    o = op_log(spark, d).select(F.col("key").cast("string").alias("shard"), "node_id").distinct()
+    return placement.by_owner(o.select("shard").distinct(), o).select("node_id", F.array_join("shards", ",").alias("shards"))
+
+
 @query("top_06_random_sample", sql("SELECT count(*) AS n FROM (SELECT segment_id FROM segments ORDER BY segment_id LIMIT (SELECT ceil(count(*) * 0.1)::BIGINT FROM segments))", "segments"))
 def random_sample(spark, d):
     s = segments(spark, d)
