@@ -102,6 +102,15 @@ def merkle_leaf_diff(spark, d):
     return integrity.leaf_diff(a, b)
 
 
+@query("jon_08_merkle_leaf_diff_all")
+def merkle_leaf_diff_all(spark, d):
+    """jon_08_merkle_leaf_diff over all documents, in leaves of bytes; a null text is empty and has no leaf."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("object_key"), F.coalesce("text", F.lit("")).alias("text"))
+    a = integrity.leaves(docs, 512)
+    b = a.withColumn("hash", F.when((F.col("object_key").cast("long") + F.col("idx")) % 3 == 0, "x").otherwise(F.col("hash")))
+    return integrity.leaf_diff(a, b)
+
+
 @query("win_10_range_coalesce", sql("SELECT node_id, min(h) AS \"start\", max(h) + 1 AS \"end\" FROM (SELECT node_id, h, h - row_number() OVER (PARTITION BY node_id ORDER BY h) AS g FROM (SELECT DISTINCT node_id, wall // 600000000 AS h FROM op_log)) GROUP BY node_id, g", "op_log"))
 def range_coalesce(spark, d):
     return integrity.ranges(op_log(spark, d).select("node_id", F.floor(F.col("wall") / 600000000).alias("h")).distinct(), "node_id", "h")

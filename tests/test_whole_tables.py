@@ -13,3 +13,17 @@ def test_every_shard_reaches_its_owners(spark):
         want.setdefault(r.node_id, set()).add(str(r.key))
     got = {r.node_id: r.shards.split(",") for r in plans.QUERIES["jon_10_group_by_owner_all"](spark, SF).collect()}
     assert got == {n: sorted(s) for n, s in want.items()} and any(int(k) >= 40 for s in got.values() for k in s)
+
+
+def test_leaves_of_every_document_are_compared(spark):
+    from loomstead.sources.tables import read
+
+    rows = read(spark, SF, "documents").select("doc_id", "text").collect()
+    want = set()
+    for r in rows:
+        n = (len((r.text or "").encode()) + 511) // 512
+        at = [i for i in range(n) if (r.doc_id + i) % 3 == 0]  # no two of these are neighbours
+        want |= {(str(r.doc_id), i, i + 1) for i in at}
+    got = plans.QUERIES["jon_08_merkle_leaf_diff_all"](spark, SF).collect()
+    assert len(got) == len(want) and {(r.object_key, r.start, r.end) for r in got} == want
+    assert any(not (r.text or "").isascii() for r in rows)
