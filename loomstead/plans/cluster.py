@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import catalog, integrity, placement
+from ..operators import catalog, graphs, integrity, placement
 from ..registry import query
 from ..sources.tables import chunk_refs, edges, objects, op_log, read, segments, sql, symbols
 from .store_cycles import RING, _ring
@@ -240,6 +240,13 @@ def vector_search(spark, d):
     return catalog.first_n(scored, "query_id", [F.desc("score"), "vec_id"], 8)
 
 
+@query("txt_03_vector_search_all", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q::DOUBLE[], q::DOUBLE[])), 4) AS score FROM embeddings, q) SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 8")
+def vector_search_all(spark, d):
+    """txt_03_vector_search and top_01_vector_topk for all queries, the rows whose id is divisible by 50."""
+    v = read(spark, d, "embeddings")
+    return graphs.vector_topk_of_all(v, v.where("vec_id % 50 = 0"))
+
+
 @query("str_04_wal_replay", sql("SELECT segment_id, count(*) AS entries, sum(length)::BIGINT AS bytes, max(deleted_at) AS newest FROM chunk_refs WHERE segment_id NOT IN (SELECT segment_id FROM segments WHERE state = 'Sealed') GROUP BY segment_id", "chunk_refs", "segments"))
 def wal_replay(spark, d):
     sealed = segments(spark, d).where("state = 'Sealed'").select("segment_id")
