@@ -1,7 +1,7 @@
 """License scans by an exact set-similarity join (operator 5, DataFrame functions only).
 
-Text blocks (the lines of a document) are joined with a fixed list of license
-templates. A block meets a template if it holds at least the threshold's share
+Text blocks (the lines of a document and its paragraphs of several lines, so
+that a notice may be wrapped) are joined with a fixed list of license templates. A block meets a template if it holds at least the threshold's share
 of the template's distinct words. Template words are put in ascending order of
 the number of blocks in the whole corpus that hold them. If s is a template's
 size and a = ceil(threshold x s) the least overlap, a block that meets it holds
@@ -50,6 +50,9 @@ THRESHOLD = 0.8
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: What parts paragraphs: a line without a word.
+GAP = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"
+
 
 def _lower(x) -> Column:
     return F.translate(x, UPPER, LOWER)
@@ -59,9 +62,12 @@ def _strings(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, line number and distinct words of every line with a word."""
-    lines = docs.select("doc_id", "uid", F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
+def _blocks(docs: DataFrame, wrapped: bool = False) -> DataFrame:
+    """doc_id, line number and distinct words of every line with a word; with wrapped, of paragraphs of several lines too, numbered on after the lines."""
+    blocks = F.split("text", "\n", -1)
+    if wrapped:
+        blocks = F.concat(blocks, F.filter(F.split("text", GAP, -1), lambda p: F.contains(p, F.lit("\n"))))
+    lines = docs.select("doc_id", "uid", F.posexplode(blocks).alias("line", "block"))
     words = F.array_distinct(F.split(_lower("block"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1))
     return lines.select("doc_id", "uid", "line", words.alias("words"))
 
@@ -74,8 +80,8 @@ def ordered_templates(docs: DataFrame, templates=TEMPLATES) -> list[list[str]]:
     return [sorted(set(t.split()), key=lambda w: (counts.get(w, 0), w)) for _, t in templates]
 
 
-def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """doc_id, line, template, label and containment of every block that meets a template."""
+def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, wrapped: bool = False) -> DataFrame:
+    """doc_id, line, template, label and containment of every block that meets a template; blocks as in _blocks."""
     spark = docs.sparkSession
     ordered = ordered_templates(docs, templates)
     least = [max(1, math.ceil(threshold * len(t) - 1e-9)) for t in ordered]
@@ -84,7 +90,7 @@ def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEM
     lines = [F.struct(*[F.lit(x).alias(n) for n, x in zip(names, p[:5], strict=True)], _strings(p[5]).alias("wording")) for p in prefix]
     table = spark.range(1).select(F.inline(F.array(*lines)))
     first_words = _strings(sorted({p[0] for p in prefix}))
-    blocks = _blocks(docs).where(F.arrays_overlap("words", first_words) & (F.size("words") >= min(least)))
+    blocks = _blocks(docs, wrapped).where(F.arrays_overlap("words", first_words) & (F.size("words") >= min(least)))
     seeds = blocks.withColumn("word", F.explode(F.array_intersect("words", first_words)))
     near = seeds.join(F.broadcast(table), "word").where((F.size("words") >= F.col("least")) & (F.col("size") - F.col("place") >= F.col("least")))
     overlap = F.size(F.array_intersect("words", "wording"))
@@ -111,7 +117,7 @@ def _places(phrase: list[str], label: str) -> Column:
 def license_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Words, places of base phrases, labels and score of every document."""
     rows = texts(docs)
-    found = license_matches(rows, threshold).groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
+    found = license_matches(rows, threshold, wrapped=True).groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     low = _lower("text")
     words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
     none = F.array().cast("array<struct<at:int,label:string,length:int>>")
