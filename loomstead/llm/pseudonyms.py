@@ -36,13 +36,15 @@ KEY = "change-this-key"
 EDGE, AFTER = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 DATE_YMD = r"[1-9][0-9]{3}([-/.])[0-9]{1,2}\1[0-9]{1,2}"
 DATE_DMY = r"[0-9]{1,2}([-/.])[0-9]{1,2}\1[1-9][0-9]{3}"
+#: Behind a date and a sign of a range.
+RANGE = r"(?<=(?<![0-9])(?:[1-9][0-9]{3}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][1-9][0-9]{3})[-/])"
 #: Kind and pattern, the first that fits at a place counts.
 KINDS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("secret", EDGE + r"[0-9A-Fa-f]{32,64}" + AFTER),
     ("iban", EDGE + r"[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)" + AFTER),
-    ("phone", r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![A-Za-z0-9.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9])"),
-    ("date", r"(?<![A-Za-z0-9./-])(?:" + DATE_YMD.replace(r"\1", r"[-/.]").replace("([-/.])", "[-/.]") + "|" + DATE_DMY.replace(r"\1", r"[-/.]").replace("([-/.])", "[-/.]") + r")(?![A-Za-z0-9])"),
+    ("phone", r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![A-Za-z0-9.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9])|(?<![A-Za-z0-9+.-])(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    ("date", r"(?:(?<![A-Za-z0-9./-])|" + RANGE + ")(?:" + DATE_YMD.replace(r"\1", r"[-/.]").replace("([-/.])", "[-/.]") + "|" + DATE_DMY.replace(r"\1", r"[-/.]").replace("([-/.])", "[-/.]") + r")(?:(?![A-Za-z0-9])|(?=T[0-9]{2}:?[0-9]{2}))"),
     ("ip", r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])"),
     ("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
     ("card", EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + AFTER),
@@ -216,7 +218,7 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[^0-9])|\+1(?=[0-9])|\+[0-9]{2}(?=[0-9])|)", 1)
+    country = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[^0-9])|\+1(?=[0-9])|\+[0-9]{2}(?=[0-9])|1(?=[ .-])|)", 1)
     rest = _sub(m, F.char_length(country) + 1, F.char_length(m))
     digits = F.regexp_replace(rest, "[^0-9]", "")
     fits = F.char_length(digits).between(6, 15)
@@ -226,7 +228,7 @@ def _phone(m: Column, key: str) -> Column:
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
     plain = F.regexp_replace(local, "[^0-9A-Za-z]", "")
-    return F.when(F.char_length(plain) > 1, F.concat(_into(local, permuted_text(plain, key, "email")), _sub(m, F.char_length(local) + 1, F.char_length(m)))).otherwise(m)
+    return F.when(F.char_length(plain) > 0, F.concat(_into(local, permuted_text(plain, key, "email")), _sub(m, F.char_length(local) + 1, F.char_length(m)))).otherwise(m)
 
 
 def _secret(m: Column, key: str) -> Column:

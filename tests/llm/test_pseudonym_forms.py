@@ -1,0 +1,13 @@
+"""Forms of values that used to stay in clear text."""
+
+from test_llm_operators import frame
+
+from loomstead.llm import pseudonyms
+
+
+def test_no_form_stays_clear(spark):
+    texts = ["j@doe.org", "2024-05-06T07:08:09", "01/02/2020-03/02/2020", "1-800-555-0199", "800 555 0199"]
+    out = {r.doc_id: r for r in pseudonyms.pseudonym_report(frame(spark, list(enumerate(texts))), "k").collect()}
+    assert [out[i].n_replaced for i in range(5)] == [1, 1, 2, 1, 1]
+    assert all(out[i].text != t and len(out[i].text) == len(t) for i, t in enumerate(texts))
+    assert out[1].text.endswith("T07:08:09") and out[3].text.startswith("1-")
