@@ -16,9 +16,13 @@ tree grows with it; it is held as tables, and neither words nor states come to
 the driver or are broadcast. log p(word | longest suffix state) is the sum of
 the root's log p(word), the log weights of the states that end before the word,
 and, for each kept next word, what it adds to its suffix's log p less that
-weight. Every such term belongs to one run of words, so a text's score is found
-by a shuffle of (hash of run, text) pairs, packed per task and bucket, to where
-the terms are, a length of runs at a time.
+weight. Every such term belongs to one run of words. For each length of runs,
+the places of all runs are shuffled by the run's hash, packed per source (texts
+that lie together) and bucket; where they meet, runs are counted, and places of
+runs seen too seldom to matter are dropped. The places left meet the terms of
+their runs once these are known, and their sums go back to the texts. Runs of
+several words are handled in ROUNDS parts by ranges of their hashes, so that no
+more than a part of them is in a shuffle at a time.
 
 Results for odd input: a null text is empty, that is one end symbol; a null
 doc_id is in the training texts and not held out; rows are scored one by one,
@@ -30,13 +34,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import mix, packed, slices, word_hashes
+from .kernel import SPACES, grouped, mix, packed, slices, spans, word_hashes
 from .scratch import Scratch, remainder, texts
 
 LEAST, DISCOUNT, DIVERGENCE = 3, 0.75, 0.02
@@ -44,10 +49,14 @@ LEAST, DISCOUNT, DIVERGENCE = 3, 0.75, 0.02
 DEPTH = 3
 #: The end symbol's hash; no word has it but by chance.
 END = np.uint64(0x8F1BBCDC5A827999)
-#: Counts or pairs that a task packs at a time, and about how many make a bucket.
-BLOCK, BUCKET = 1 << 21, 1 << 22
-#: Texts with the same uid >> RUN are put together at the end.
-RUN = 12
+#: Places that a task packs at a time (under 1 << 22), and about how many make a bucket.
+BLOCK, BUCKET = 1 << 20, 1 << 19
+#: Texts with the same uid >> RUN are one source; RUN bits and HELD make a place in it.
+RUN, HELD = 12, 0x8000
+#: Parts by hash in which runs of several words are counted.
+ROUNDS = 4
+#: Buckets of counting that are one when terms meet their places.
+MERGED = 12
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,7 +77,13 @@ def runs(h: np.ndarray, begin: np.ndarray, order: int) -> tuple[np.ndarray, np.n
         if n == 2:
             left[begin[:-1]] = END
         key = joined(left, right)
-    at = np.flatnonzero(np.arange(len(h)) - np.repeat(begin[:-1], np.diff(begin)) >= order - 2)
+    if order < 3:
+        at = np.arange(len(h))
+    else:
+        whole = np.ones(len(h), bool)
+        for n in range(order - 2):
+            whole[np.minimum(begin[:-1] + n, begin[1:] - 1)] = False
+        at = np.flatnonzero(whole)
     return at, key[at], left[at], right[at]
 
 
@@ -76,14 +91,9 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _ODD + right)
 
 
-def _by_bucket(keys: np.ndarray, buckets: int, *others: np.ndarray):
-    """(bucket, keys, others) sorted by bucket."""
-    bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-    for b in np.flatnonzero(np.diff(edges)):
-        part = order[edges[b] : edges[b + 1]]
-        yield int(b), keys[part], *[x[part] for x in others]
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by ranges of the keys' low 42 bits, so that places sorted by them lie in order of bucket."""
+    return ((keys << np.uint64(22)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
@@ -106,90 +116,125 @@ def _packed_rows(names: str, rows: list[tuple], **same) -> pa.RecordBatch:
     return _rows(names, len(rows), **given, **{k: [v] * len(rows) for k, v in same.items()})
 
 
-COUNTS = "bucket long, lefts binary, rights binary, counts binary"
+SENT = "bucket long, kind int, source long, lefts binary, rights binary, lens binary, places binary"
 
 
-def _count(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Counts of runs of ``order`` symbols, combined per block and packed by bucket; a word is its own right side."""
-    held, size = [], 0
+def _places(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(source, symbols, where each text begins, places) of texts of one source that lie together."""
+    for batch in batches:
+        uid, fold = np.asarray(batch.column("uid")), np.asarray(batch.column("fold"))
+        source, place = uid >> RUN, (uid & ((1 << RUN) - 1) | np.where(fold == 1, HELD, 0)).astype(np.uint16)
+        for i, j, h, begin in sequences(batch.column("text")):
+            cuts = [i, *(i + 1 + np.flatnonzero(source[i + 1 : j] != source[i : j - 1])).tolist(), j]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield int(source[a]), h[begin[a - i] : begin[b - i]], begin[a - i : b - i + 1] - begin[a - i], place[a:b]
 
-    def block():
+
+def _sent(batches, order: int, buckets: int, part: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Kind 1: runs of ``order`` symbols with their places, packed by source and bucket, of one part of all buckets."""
+    held, size, now = [], 0, None
+    low, high = buckets * part // parts, buckets * (part + 1) // parts
+
+    def flush():
         nonlocal held, size
-        key, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, left, right, place = (np.concatenate(x) for x in zip(*held, strict=True))
         held, size = [], 0
-        key, first, n = np.unique(key, return_index=True, return_counts=True)
-        left = left[first] if order > 1 else left[:0]
-        rows = [(b, packed(x) if order > 1 else b"", packed(y), packed(c)) for b, _, x, y, c in _by_bucket(key, buckets, left if order > 1 else key, right[first], n.astype(np.uint32))]
-        return _packed_rows(COUNTS, rows)
-
-    for batch in batches:
-        for _, _, h, begin in sequences(batch.column("text")):
-            _, *found = runs(h, begin, order)
-            if len(found[0]):
-                held.append(found)
-                size += len(found[0])
-            if size >= BLOCK:
-                yield block()
+        for a in range(0, len(key), 1 << 22):
+            yield _packed_rows(SENT, list(_by_bucket(key[a : a + (1 << 22)], left, right, place, a, order, buckets)), kind=1, source=now)
+
+    for source, h, begin, place in _places(batches):
+        if held and (size >= BLOCK or source != now):
+            yield from flush()
+        now = source
+        at, key, left, right = runs(h, begin, order)
+        place = np.repeat(place, np.diff(begin))[at]
+        if parts > 1:
+            bucket = bucket_of(key, buckets)
+            take = np.flatnonzero((bucket >= low) & (bucket < high))
+            key, left, right, place = key[take], left[take], right[take], place[take]
+        if len(key):
+            held.append((key, left, right, place))
+            size += len(key)
     if held:
-        yield block()
+        yield from flush()
 
 
-def _merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their sums, and where each is first."""
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    edge = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
-    return keys[edge], np.add.reduceat(n, edge) if len(n) else n, order[edge]
+def _by_bucket(key, left, right, place, a: int, order: int, buckets: int):
+    """(bucket, lefts, rights, lens, places): each run once, up to 255 places in a row."""
+    both = np.sort(key << np.uint64(22) | np.arange(len(key), dtype=np.uint64))
+    at = (both & np.uint64((1 << 22) - 1)).astype(np.int64)
+    key = key[at]
+    at += a
+    first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+    lens = np.diff(np.append(first, len(key)))
+    if lens.max() > 255:
+        pieces = -(-lens // 255)
+        first = np.repeat(first, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        lens = np.diff(np.append(first, len(key)))
+    bucket, start = bucket_of(key[first], buckets).astype(np.int64), at[first]
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(first)]))
+    lefts, rights = left[start] if order > 1 else left[:0], right[start]
+    lens, places = lens.astype(np.uint8), place[at]
+    ends = np.append(first, len(key))
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(bucket[s]), packed(lefts[s:e]), packed(rights[s:e]), packed(lens[s:e]), packed(places[ends[s] : ends[e]])
 
 
 def _column(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in table.column(name).to_pylist()]])
 
 
-WORDS = "bucket long, keys binary, counts binary, total long, distinct long"
-
-
-def _summed_words(table: pa.Table) -> pa.Table:
-    keys, n, _ = _merge(_column(table, "rights", np.uint64), _column(table, "counts", np.uint32).astype(np.int64))
-    return pa.Table.from_batches([_rows(WORDS, 1, bucket=table.column("bucket").slice(0, 1).to_pylist(), keys=[packed(keys)], counts=[packed(n)], total=[int(n.sum())], distinct=[len(n)])])
-
-
-NEXTS = "key long, ctx long, suffix long, c long"
-
-
-def _summed(table: pa.Table, least: float) -> pa.Table:
-    """Runs counted at least ``least`` times, a row each."""
-    left, right = _column(table, "lefts", np.uint64), _column(table, "rights", np.uint64)
-    keys, n, first = _merge(joined(left, right), _column(table, "counts", np.uint32).astype(np.int64))
-    take = n >= least
-    return pa.Table.from_batches([_rows(NEXTS, int(take.sum()), key=keys[take].view(np.int64), ctx=left[first[take]].view(np.int64), suffix=right[first[take]].view(np.int64), c=n[take])])
-
-
-def _unpacked(batches, least: float, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
-    """Words counted at least ``least`` times, a row each, with the root's ln p."""
-    for batch in batches:
-        for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            keys, n = np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)
-            take = n >= least
-            yield _rows("key long, c long, logp double", int(take.sum()), key=keys[take], c=n[take], logp=np.log((n[take] + 0.5) / (total + 0.5 * (distinct + 1))))
-
-
-def grown(nexts: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Next words (key, c, logp, value) of contexts that are runs in ``below`` (key, c, logp), and the states' (key, value)."""
-    seen = nexts.groupBy("ctx").agg(F.sum(F.col("c") - DISCOUNT).alias("kept"), F.sum("c").alias("seen"))
-    states = seen.join(below.select(F.col("key").alias("ctx"), F.col("c").alias("context")), "ctx").withColumn("weight", F.expr("1 - kept / context"))
-    rows = nexts.join(below.select(F.col("key").alias("suffix"), F.col("logp").alias("lower")), "suffix").join(states, "ctx")
+def _cut(column: list[bytes], width: int) -> np.ndarray:
+    """Where the values of each row begin when all are put together."""
+    return np.concatenate(([0], np.cumsum([len(x) // width for x in column], dtype=np.int64)))
+
+
+MET = "kind int, key long, ctx long, suffix long, c long, bucket long, source long, keys binary, lens binary, places binary"
+
+
+def _met(table: pa.Table, order: int, least: float) -> pa.Table:
+    """Of one bucket, kind 0: runs counted at least ``least`` times in training texts; kind 1: the places of these runs."""
+    right, lens, places = _column(table, "rights", np.uint64), _column(table, "lens", np.uint8).astype(np.int64), _column(table, "places", np.uint16)
+    left = _column(table, "lefts", np.uint64)
+    key = joined(left, right) if order > 1 else right
+    ends = np.cumsum(lens)
+    seen = np.add.reduceat((places < HELD).astype(np.int64), ends - lens)
+    at, first = grouped(mix(key))
+    c = np.add.reduceat(seen[at], first)
+    kept, lead = c >= least, at[first]
+    stays = np.empty(len(key), bool)
+    stays[at] = np.repeat(kept, np.diff(np.append(first, len(key))))
+    lead, c = lead[kept], c[kept]
+    more = {"ctx": left[lead].view(np.int64), "suffix": right[lead].view(np.int64)} if order > 1 else {}
+    counted = _rows(MET, len(lead), kind=np.zeros(len(lead), np.int32), key=key[lead].view(np.int64), c=c, **more)
+    cut = _cut(table.column("rights").to_pylist(), 8)
+    place_cut = np.concatenate(([0], ends))[cut]
+    place_stays = np.repeat(stays, lens)
+    rows, bucket = [], table.column("bucket")[0].as_py()
+    for r, source in enumerate(table.column("source").to_pylist()):
+        mine, where = slice(cut[r], cut[r + 1]), slice(place_cut[r], place_cut[r + 1])
+        take = stays[mine]
+        if take.any():
+            rows.append((bucket, source, packed(key[mine][take]), packed(lens[mine][take].astype(np.uint8)), packed(places[where][place_stays[where]])))
+    out = [counted] + ([_packed_rows(MET, [(1, None, None, None, None, *r) for r in rows])] if rows else [])
+    return pa.Table.from_batches(out)
+
+
+def grown(nexts: DataFrame, below: DataFrame) -> DataFrame:
+    """Next words (key, c, logp, value) of contexts that are runs in ``below`` (key, c, logp), with ctx and its ln weight, null where ctx is no state."""
+    rows = nexts.join(below.select(F.col("key").alias("suffix"), F.col("logp").alias("lower")), "suffix")
+    rows = rows.join(below.select(F.col("key").alias("ctx"), F.col("c").alias("context")), "ctx")
+    of_ctx = Window.partitionBy("ctx")
+    rows = rows.withColumn("weight", 1 - F.sum(F.col("c") - DISCOUNT).over(of_ctx) / F.col("context"))
     rows = rows.withColumn("upper", F.ln((F.col("c") - DISCOUNT) / F.col("context") + F.col("weight") * F.exp("lower")))
-    rest = F.first("context") - F.first("seen")
-    gain = rows.groupBy("ctx").agg((F.sum(F.expr("c * (upper - lower)")) + rest * F.ln(F.first("weight"))).alias("gain"), F.first("context").alias("context"), F.first("weight").alias("weight"))
-    passed = gain.where(F.col("gain") / F.col("context") >= DIVERGENCE).select("ctx", "weight")
-    kept = rows.drop("weight").join(passed.withColumnRenamed("weight", "w"), "ctx", "left")
+    rest = F.col("context") - F.sum("c").over(of_ctx)
+    gain = F.sum(F.expr("c * (upper - lower)")).over(of_ctx) + rest * F.ln("weight")
+    rows = rows.withColumn("w", F.when(gain / F.col("context") >= DIVERGENCE, F.ln("weight")))
     logp = F.when(F.col("w").isNotNull(), F.col("upper")).otherwise(F.col("lower"))
-    added = F.when(F.col("w").isNotNull(), F.col("upper") - F.col("lower") - F.ln("w")).otherwise(0.0)
-    return kept.select("key", "c", logp.alias("logp"), added.alias("value")), passed.select(F.col("ctx").alias("key"), F.ln("weight").alias("value"))
+    return rows.select("key", "c", logp.alias("logp"), F.coalesce(F.col("upper") - F.col("lower") - F.col("w"), F.lit(0.0)).alias("value"), "ctx", "w")
 
 
-SENT = "bucket long, kind int, source long, keys binary, counts binary"
+ASKED = "bucket long, kind int, source long, keys binary, lens binary, places binary"
 BACK = "source long, docs binary, known binary, base binary, score binary"
 TEXTS = "source long, uid long, doc_id long, held_out boolean, n_tokens long"
 
@@ -202,11 +247,15 @@ def _values(batches, buckets: int) -> Iterator[pa.RecordBatch]:
         nonlocal held, size
         keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
         held, size = [], 0
-        return _packed_rows(SENT, [(b, packed(k), packed(v)) for b, k, v in _by_bucket(keys, buckets, values)], kind=2, source=0)
+        order = np.argsort(keys << np.uint64(22))
+        keys, values = keys[order], values[order]
+        bucket = bucket_of(keys, buckets).astype(np.int64)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)])).tolist()
+        return _packed_rows(ASKED, [(int(bucket[s]), packed(keys[s:e]), packed(values[s:e])) for s, e in zip(edges, edges[1:], strict=False)], kind=2, source=0, lens=None)
 
     for batch in batches:
         if batch.num_rows:
-            held.append((np.asarray(batch.column("key")).view(np.uint64), np.asarray(batch.column("value")) / math.log(10)))
+            held.append((np.asarray(batch.column("key")).view(np.uint64), np.asarray(batch.column("value")).astype(float)))
             size += batch.num_rows
         if size >= BLOCK:
             yield block()
@@ -217,132 +266,136 @@ def _values(batches, buckets: int) -> Iterator[pa.RecordBatch]:
 def _texts(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         uid, fold = np.asarray(batch.column("uid")), np.asarray(batch.column("fold"))
-        for i, j, _, begin in sequences(batch.column("text")):
-            yield _rows(TEXTS, j - i, source=uid[i:j] >> RUN, uid=uid[i:j], doc_id=batch.column("doc_id").slice(i, j - i), held_out=fold[i:j] == 1, n_tokens=np.diff(begin))
-
-
-def _asks(batches, order: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Kind 1: packed (run, times, text) by source and bucket, where the text is its place in the source."""
-    held, size = [], 0
-
-    def flush():
-        nonlocal held, size
-        keys, times, uid = (np.concatenate(x) for x in zip(*held, strict=True))
-        held, size = [], 0
-        source = uid >> RUN
-        for s in np.unique(source):
-            mine = source == s
-            place = (uid[mine] & ((1 << RUN) - 1)).astype(np.uint16)
-            rows = [(b, packed(k), packed(np.concatenate([t, p]))) for b, k, t, p in _by_bucket(keys[mine], buckets, times[mine], place)]
-            yield _packed_rows(SENT, rows, kind=1, source=int(s))
+        for i, j, data, offsets in slices(batch.column("text")):
+            _, _, begin = spans(data, offsets, SPACES)
+            yield _rows(TEXTS, j - i, source=uid[i:j] >> RUN, uid=uid[i:j], doc_id=batch.column("doc_id").slice(i, j - i), held_out=fold[i:j] == 1, n_tokens=np.diff(begin) + 1)
 
-    for batch in batches:
-        uids = np.asarray(batch.column("uid"))
-        for i, j, h, begin in sequences(batch.column("text")):
-            at, keys, _, _ = runs(h, begin, order)
-            uid = np.repeat(uids[i:j], np.diff(begin))[at]
-            _, first, c = np.unique(mix(keys + mix(uid.astype(np.uint64))), return_index=True, return_counts=True)
-            while len(first):  # counts beyond two bytes go as further pairs
-                held.append((keys[first], np.minimum(c, 65535).astype(np.uint16), uid[first]))
-                size += len(first)
-                first, c = first[c > 65535], c[c > 65535] - 65535
-            if size >= BLOCK:
-                yield from flush()
-    if held:
-        yield from flush()
 
+def _answer(table: pa.Table, order: int, space: float) -> pa.Table:
+    """Packed places become packed sums of what their runs add to their texts, a row for a source.
 
-def _answer(table: pa.Table, order: int, total: int, distinct: int) -> pa.Table:
-    """Packed asks become packed sums of what they add to their texts, a row for a row."""
+    Values of kind 2 are the runs' terms, those of kind 3 the counts of words (order 1), as values.
+    """
     kind = np.asarray(table.column("kind"))
-    values, words = table.filter(pa.array(kind == 2)), table.filter(pa.array(kind == 0))
-    known_values = _merge(_column(values, "keys", np.uint64), _column(values, "counts", np.float64))[:2]
-    known_words = _merge(_column(words, "keys", np.uint64), _column(words, "counts", np.int64))[:2]
-
-    def found(known, k):
-        keys, n = known
-        if not len(keys):
-            return np.zeros(len(k), n.dtype)
-        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        return np.where(keys[at] == k, n[at], 0)
-
-    bottom = np.log10(total + 0.5 * (distinct + 1))
-    out = []
-    for r in table.filter(pa.array(kind == 1)).select(["source", "keys", "counts"]).to_pylist():
-        k, both = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.uint16)
-        times, (docs, doc) = both[: len(k)].astype(np.int64), np.unique(both[len(k) :], return_inverse=True)
-        score, base, known = found(known_values, k), np.zeros(len(k)), np.zeros(len(k), bool)
-        if order == 1 and total:
-            c = found(known_words, k)
-            known, base = c > 0, np.log10(c + 0.5) - bottom
-        sums = [packed(np.bincount(doc, times * x, len(docs))) for x in (known, base, score + base)]
-        out.append((r["source"], packed(docs), *sums))
+    asked = table.filter(pa.array(kind == 1))
+    keys = asked.column("keys").to_pylist()
+    cut, own = _cut(keys, 8), _column(asked, "keys", np.uint64)
+    found = []
+    for k in (2, 3):
+        known = table.filter(pa.array(kind == k))
+        every = np.concatenate([own, _column(known, "keys", np.uint64)])
+        value = np.concatenate([np.zeros(len(own)), _column(known, "places", np.float64)])
+        sums = np.zeros(len(every))
+        if len(every) > len(own):
+            at, first = grouped(mix(every))
+            sums[at] = np.repeat(np.add.reduceat(value[at], first), np.diff(np.append(first, len(at))))
+        found.append(sums[: len(own)])
+    score, count = found
+    base = np.log10((count + 0.5) / space) if order == 1 else np.zeros(len(own))
+    score = score + base
+    source, lens, places = (asked.column(c).to_pylist() for c in ("source", "lens", "places"))
+    out, rows = [], sorted(range(len(source)), key=source.__getitem__)
+    for name, same in groupby(rows, key=source.__getitem__):
+        times, sums = np.zeros(1 << RUN, np.int64), np.zeros((2, 1 << RUN))
+        for r in same:
+            mine, many = slice(cut[r], cut[r + 1]), np.frombuffer(lens[r], np.uint8)
+            place = np.frombuffer(places[r], np.uint16) & np.uint16(HELD - 1)
+            for to, x in zip((sums[0], sums[1]), (score, base), strict=True):
+                if x is score or order == 1:
+                    n = np.bincount(place, np.repeat(x[mine], many))
+                    to[: len(n)] += n
+            n = np.bincount(place)
+            times[: len(n)] += n
+        docs = np.flatnonzero(times)
+        first = (packed(times[docs].astype(np.uint32)), packed(sums[1][docs])) if order == 1 else (None, None)
+        out.append((name, packed(docs.astype(np.uint16)), *first, packed(sums[0][docs])))
     return pa.Table.from_batches([_packed_rows(BACK, out)] if out else [], schema=_schema(BACK))
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _whole(table: pa.Table) -> pa.Table:
-    """The texts of one source with what all buckets have added."""
+def _whole(table: pa.Table, bottom: float) -> pa.Table:
+    """The texts of one source with what all buckets have added; ``bottom`` is log10 p of a word never seen."""
     is_text = table.column("uid").is_valid()
     own = table.filter(is_text).combine_chunks()
-    sums = {name: np.zeros(1 << RUN) for name in ("known", "base", "score")}
-    for r in table.filter(table.column("docs").is_valid()).select(["docs", *sums]).to_pylist():
+    known, base, score = (np.zeros(1 << RUN) for _ in range(3))
+    for r in table.filter(table.column("docs").is_valid()).select(["docs", "known", "base", "score"]).to_pylist():
         at = np.frombuffer(r["docs"], np.uint16)
-        for name, x in sums.items():
-            x[at] += np.frombuffer(r[name], np.float64)
+        score[at] += np.frombuffer(r["score"], np.float64)
+        if r["known"] is not None:
+            known[at] += np.frombuffer(r["known"], np.uint32)
+            base[at] += np.frombuffer(r["base"], np.float64)
     place = np.asarray(own.column("uid")) & ((1 << RUN) - 1)
     columns = {c: own.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens")}
-    return pa.Table.from_batches([_rows(SCORED, len(own), **columns, n_known=sums["known"][place].astype(np.int64), base_score=sums["base"][place], score=sums["score"][place])])
+    unknown = (np.bincount(place, np.asarray(own.column("n_tokens")), 1 << RUN) - known) * bottom
+    base, score = base + unknown, score + unknown
+    return pa.Table.from_batches([_rows(SCORED, len(own), **columns, n_known=known[place].astype(np.int64), base_score=base[place], score=score[place])])
 
 
-def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
-    With p_min, words, states and next words also need that share of the training symbols.
+    ``depth`` is the number of words in the longest contexts; each word more is one more level, made by the same
+    step. With p_min, words, states and next words also need that share of the training symbols.
     """
     spark, store = docs.sparkSession, Scratch(docs.sparkSession)
     rows = texts(docs).select("doc_id", "uid", "text", remainder(F.col("doc_id")).alias("fold"))
-    training = rows.where("fold <> 1").select("text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(parts, size // (8 * BUCKET) + 1)
+    buckets = max(spark.sparkContext.defaultParallelism, size // (4 * BUCKET) + 1)
 
     def save(frame):
         out = store.save(frame)
         spark.sparkContext._jvm.System.gc()  # lets go of the shuffle's files
         return out
 
-    def counted(order):
-        return training.mapInArrow(lambda it: _count(it, order, buckets), COUNTS).groupBy("bucket")
+    def met(order, least):
+        """Tables of runs of a length that are seen often enough, and of their places."""
+        parts = rounds if order > 1 else 1
+        for part in range(parts):
+            sent = rows.select("uid", "fold", "text").mapInArrow(lambda it, part=part: _sent(it, order, buckets, part, parts), SENT)
+            yield save(sent.groupBy("bucket").applyInArrow(lambda t: _met(t, order, least), MET))
+
+    def union(frames):
+        out = frames[0]
+        for x in frames[1:]:
+            out = out.unionByName(x)
+        return out
 
-    words = save(counted(1).applyInArrow(_summed_words, WORDS))
-    total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    def answered(order, places, terms):
+        """The sums that the places of runs of a length add to their texts; MERGED buckets at a time."""
+        sent = union(places).where("kind = 1").select("bucket", "kind", "source", "keys", "lens", "places")
+        for kind, x in terms:
+            sent = sent.unionByName(x.mapInArrow(lambda it: _values(it, buckets), ASKED).withColumn("kind", F.lit(kind)))
+        sent = sent.withColumn("bucket", F.expr(f"bucket div {MERGED}"))
+        return save(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, order, space), BACK))
+
+    places = list(met(1, 1))
+    words = union(places).where("kind = 0").select("key", "c")
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(LEAST, p_min * total)
-    levels = [save(words.select("keys", "counts").mapInArrow(lambda it: _unpacked(it, least, total, distinct), "key long, c long, logp double"))]
-    states = []
-    for order in range(2, depth + 2):
-        nexts = save(counted(order).applyInArrow(lambda t: _summed(t, least), NEXTS))
-        kept, passed = grown(nexts, levels[-1])
-        levels.append(save(kept))
-        states.append(save(passed))
-        store.drop(nexts)
-
-    def summed(order):
-        terms = [x.select("key", "value") for x in (levels[order - 1 : order] if order > 1 else []) + states[order - 1 : order]]
-        sent = rows.select("uid", "text").mapInArrow(lambda it: _asks(it, order, buckets), SENT)
-        for x in terms:
-            sent = sent.unionByName(x.mapInArrow(lambda it: _values(it, buckets), SENT))
-        if order == 1:
-            sent = sent.unionByName(words.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("source"), "keys", "counts"))
-        return save(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, order, total, distinct), BACK))
-
-    sums = [summed(order) for order in range(1, depth + 2)]
-    store.drop(words, *levels, *states)
+    space = total + 0.5 * (distinct + 1)
+    level, kept = words.where(F.col("c") >= least).withColumn("logp", F.log((F.col("c") + 0.5) / space)), None
+    as_values = lambda x: x.select("key", (F.col("value") / math.log(10)).alias("value"))
+    counts = [(3, words.select("key", F.col("c").cast("double").alias("value")))]
+    sums = []
+    for order in range(1, depth + 2):
+        terms, more, after = counts if order == 1 else [(2, as_values(kept))], [], None
+        if order <= depth:
+            more = list(met(order + 1, least))
+            nexts = union(more).where("kind = 0").select("key", "ctx", "suffix", "c")
+            after = save(grown(nexts, level))
+            states = after.where("w is not null").select(F.col("ctx").alias("key"), F.col("w").alias("value")).distinct()
+            terms = [*terms, (2, as_values(states))]
+        sums.append(answered(order, places, terms))
+        store.drop(*places, *([] if kept is None else [kept]))
+        places, kept = more, after
+        if after is not None:
+            level = after
+    bottom = math.log10(0.5 / space)
 
     every = rows.mapInArrow(_texts, TEXTS)
     for x in sums:
         every = every.unionByName(x, allowMissingColumns=True)
-    scored = every.groupBy("source").applyInArrow(_whole, SCORED)
+    scored = every.groupBy("source").applyInArrow(lambda t: _whole(t, bottom), SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .kernel import BYTES, NEWLINE, SPACES, hashes, mix, slices, spans, windows
+from .kernel import BYTES, NEWLINE, SPACES, grouped, hashes, mix, slices, spans, windows
 
 # The symbols that count.
 SYMBOLS = np.isin(BYTES, list(b"[#*$%&|<>]"[1:-1]))
@@ -30,8 +30,9 @@ def _seen_before(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each key, is an equal one before it, and is there an equal one at all."""
     if not len(keys):
         return np.zeros(0, bool), np.zeros(0, bool)
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
+    order, first = grouped(keys)
+    same = np.ones(len(keys) - 1, bool)
+    same[first[1:] - 1] = False
     before, any_ = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     before[order[1:]] = same
     any_[order[1:]] |= same
