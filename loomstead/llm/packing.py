@@ -20,10 +20,12 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernel import BYTES, SPACES, folded, grouped, hashes, slices, spans
 from .scratch import Scratch, texts
 
 SEQUENCE, END = 2048, 1
-#: Words whose ids a worker keeps.
+#: Words whose ids a worker keeps; with more it begins anew.
 CACHE = 600_000
+# The pattern by which the tokenizer splits texts, and its step that makes white space one blank.
+PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE_STEP = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+#: Signs that this pattern always parts from a letter before them.
+SIGNS = b".,;:!?#*$%&()[]"
+SIGN = np.isin(BYTES, list(SIGNS))
 _made: dict[str, tuple] = {}
 
 
@@ -45,50 +54,104 @@ def _default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def splits_words(path: str) -> bool:
+    """Whether the tokenizer is known never to join what stands on the two sides of white space, or a letter and a sign of SIGNS after it."""
+    with open(path) as f:
+        made = json.load(f)
+    steps = made.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    steps = steps.get("normalizers", [steps])
+    known = all(x["type"] in ("NFC", "Lowercase") or x == SPACE_STEP for x in steps)
+    first = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    return known and any(x["type"] == "Lowercase" for x in steps) and first.get("pattern", {}).get("Regex") == PRE_SPLIT and first.get("behavior") == "Removed" and first.get("invert") is True
+
+
 class Ids:
-    """Ids of texts. White space never joins what stands on its two sides in this tokenizer, so ids are made per word and kept."""
+    """Ids of texts. Where the tokenizer is known to split at white space and signs, ids are made once per word and kept; else per text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def __call__(self, column: list[str]) -> Iterator[bytes]:
-        split = [self._words(t) for t in column]
+        self.tokenizer, self.splits = Tokenizer.from_file(path), splits_words(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[int, int] = {}  # a word's hash to its place in ends
+        self.ends, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        ids, sizes = [np.zeros(0, np.uint32)], []
+        for a in range(0, len(texts), 4096):
+            made = [x.ids for x in self.tokenizer.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)]
+            sizes += map(len, made)
+            ids.append(np.fromiter(chain.from_iterable(made), np.uint32))
+        return np.concatenate(ids), np.array(sizes, np.int64)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _encode, for words of letters alone: many are one text, as the last id of each is one that ends a word."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(words), 256):
+            some = words[a : a + 256]
+            made = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.closing[made])
+            if len(last) == len(some) and last[-1] == len(made) - 1:
+                many = np.diff(last, prepend=-1)
+            else:  # a step of the tokenizer has made several words of one
+                made, many = self._encode(some)
+            ids.append(made)
+            sizes.append(many)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For slices of the texts: the first row, all ids, and where each text's ids begin."""
+        if not self.splits:
+            for i in range(0, len(column), 256):
+                ids, sizes = self._encode(column.slice(i, 256).to_pylist())
+                yield i, ids, np.concatenate(([0], np.cumsum(sizes)))
+            return
+        for i, _, data, offsets in slices(column, 1 << 20):
+            raw = data.tobytes()
+            if b"<|" not in raw:  # lower case is the tokenizer's own step, and may come first unless special tokens may be meant
+                data = folded(data)
+                raw = data.tobytes()
+            # The pattern always parts an ASCII letter and a sign of SIGNS after it.
+            letter, sign = data - np.uint8(0x61) < 26, SIGN[data]
+            edges = np.sort(np.concatenate([offsets, np.flatnonzero(letter[:-1] & sign[1:]) + 1]))
+            starts, ends, _ = spans(data, edges, SPACES)
+            begin = np.searchsorted(starts, offsets)
+            h = hashes(data, starts, ends)
+            order, first = grouped(h)
+            word = np.empty(len(h), np.int64)
+            word[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+            at = self._places(raw, h[order[first]].tolist(), starts[order[first]].tolist(), ends[order[first]].tolist())[word]
+            sizes = self.ends[at + 1] - self.ends[at]
+            to = np.concatenate(([0], np.cumsum(sizes)))
+            yield i, self.pool[np.arange(to[-1]) + np.repeat(self.ends[at] - to[:-1], sizes)], to[begin]
+
+    def _places(self, raw: bytes, keys: list[int], starts: list[int], ends: list[int]) -> np.ndarray:
+        """Of distinct words, their places among those kept; new ones are encoded."""
         known = self.known
-        new = {w for words in split for w in words if w not in known}
-        extra: dict[str, bytes] = {}
+        if len(known) + len(keys) > CACHE:
+            new = sum(k not in known for k in keys)
+            if len(known) + new > CACHE:
+                self._clear()
+                known = self.known
+        new = [k for k, x in enumerate(keys) if x not in known]
         if new:
-            # Letters and the punctuation after them are never one token: ids of both parts, put together.
-            stems, ends = {}, {}
-            for w in new:
-                stem = w.rstrip(".,;:!?")
-                if stem != w and stem.isalpha():
-                    stems[w], ends[w] = stem, w[len(stem) :]
-            ask = {w for w in new if w not in stems} | {x for x in (*stems.values(), *ends.values()) if x not in known}
-            ask = list(ask)
-            for a in range(0, len(ask), 4096):
-                extra.update(zip(ask[a : a + 4096], self._encode(ask[a : a + 4096]), strict=True))
-            for w, stem in stems.items():
-                extra[w] = (known.get(stem) or extra[stem]) + (known.get(ends[w]) or extra[ends[w]])
-            for w, b in extra.items():
-                if len(known) >= CACHE:
-                    break
-                known[w] = b
-        for words in split:
-            yield b"".join([known.get(w) or extra.get(w, b"") for w in words])
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        # Lower case is the tokenizer's own step; for ASCII it may come first, unless special tokens may be meant.
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        return text.split()
+            words = [raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in new]
+            for alone, encode in ((True, self._encode_words), (False, self._encode)):
+                some = [(k, w) for k, w in zip(new, words, strict=True) if w.isalpha() == alone]
+                if some:
+                    ids, sizes = encode([w for _, w in some])
+                    for k, _ in some:
+                        known[keys[k]] = len(known)
+                    self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+                    self.pool = np.concatenate([self.pool, ids])
+        return np.array([known[x] for x in keys], np.int64)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -96,13 +159,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         _made[path] = Ids(path)
     ids, task, count = _made[path], TaskContext.get().partitionId(), np.zeros(SEQUENCE + 1, np.int64)
     end = np.array([END], np.uint32).tobytes()
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            rows = []
-            for doc, data in zip(batch.column("doc_id").to_pylist(), ids(batch.column("text").to_pylist()), strict=True):
-                data += end
-                n = len(data) // 4
+    for batch in batches:
+        doc_ids = batch.column("doc_id").to_pylist()
+        for i, found, begin in ids(batch.column("text")):
+            rows, begin = [], begin.tolist()
+            for doc, a, b in zip(doc_ids[i:], begin, begin[1:], strict=False):
+                data = found[a:b].tobytes() + end
+                n = b - a + 1
                 for start in range(0, n, SEQUENCE):
                     length = min(SEQUENCE, n - start)
                     rows.append((doc, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, task, count[length]))
@@ -181,5 +244,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 sequence[who], offset[who] = table[at, 1] + rank[who] - table[at, 0], table[at, 2]
             yield pa.record_batch([*[batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")], pa.array(sequence), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = pieces.join(offsets, ["task", "length"]).withColumn("rank", F.col("nth") + F.col("ranks"))
+    # Ranks by task and length grow with the tasks, so they are never broadcast.
+    ranked = pieces.join(offsets.hint("shuffle_hash"), ["task", "length"]).withColumn("rank", F.col("nth") + F.col("ranks"))
     return ranked.mapInArrow(placed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
