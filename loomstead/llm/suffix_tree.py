@@ -51,13 +51,16 @@ DEPTH = 3
 END = np.uint64(0x8F1BBCDC5A827999)
 #: Places that a task packs at a time (under 1 << 22), and about how many make a bucket.
 BLOCK, BUCKET = 1 << 20, 1 << 19
-#: Texts with the same uid >> RUN are one source; RUN bits and HELD make a place in it.
-RUN, HELD = 12, 0x8000
+#: Texts with the same uid >> RUN are one source. A place is RUN bits, HELD if the text is held out, and NEXT if
+#: it belongs to the same run as the place before it.
+RUN, HELD, NEXT = 13, 0x8000, 0x4000
+#: Bytes of a hash that are shuffled with places.
+WIDTH = 7
 #: Parts by hash in which runs of several words are counted.
-ROUNDS = 4
+ROUNDS = 5
 #: Buckets of counting that are one when terms meet their places.
 MERGED = 12
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _MASK = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 8 * WIDTH) - 1)
 
 
 def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -70,12 +73,13 @@ def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
 
 def runs(h: np.ndarray, begin: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Where runs of ``order`` symbols end, and the hashes of each run, of it without its last and without its first symbol."""
+    h = h & _MASK
     key, left, right = h, h, h
     for n in range(2, order + 1):
         left, right = np.empty_like(key), key
         left[1:] = key[:-1]
         if n == 2:
-            left[begin[:-1]] = END
+            left[begin[:-1]] = END & _MASK
         key = joined(left, right)
     if order < 3:
         at = np.arange(len(h))
@@ -88,7 +92,7 @@ def runs(h: np.ndarray, begin: np.ndarray, order: int) -> tuple[np.ndarray, np.n
 
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(left * _ODD + right)
+    return mix(left * _ODD + right) & _MASK
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -116,7 +120,18 @@ def _packed_rows(names: str, rows: list[tuple], **same) -> pa.RecordBatch:
     return _rows(names, len(rows), **given, **{k: [v] * len(rows) for k, v in same.items()})
 
 
-SENT = "bucket long, kind int, source long, lefts binary, rights binary, lens binary, places binary"
+SENT = "bucket long, kind int, source long, lefts binary, rights binary, places binary"
+
+
+def _short(x: np.ndarray) -> bytes:
+    """The low WIDTH bytes of each number."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def _long(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(x, np.uint8).reshape(-1, WIDTH)
+    return out.reshape(-1).view(np.uint64)
 
 
 def _places(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -160,28 +175,20 @@ def _sent(batches, order: int, buckets: int, part: int, parts: int) -> Iterator[
 
 
 def _by_bucket(key, left, right, place, a: int, order: int, buckets: int):
-    """(bucket, lefts, rights, lens, places): each run once, up to 255 places in a row."""
+    """(bucket, lefts, rights, places): each run once, and its places."""
     both = np.sort(key << np.uint64(22) | np.arange(len(key), dtype=np.uint64))
     at = (both & np.uint64((1 << 22) - 1)).astype(np.int64)
     key = key[at]
     at += a
-    first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-    lens = np.diff(np.append(first, len(key)))
-    if lens.max() > 255:
-        pieces = -(-lens // 255)
-        first = np.repeat(first, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        lens = np.diff(np.append(first, len(key)))
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    first = np.flatnonzero(new)
     bucket, start = bucket_of(key[first], buckets).astype(np.int64), at[first]
     edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(first)]))
     lefts, rights = left[start] if order > 1 else left[:0], right[start]
-    lens, places = lens.astype(np.uint8), place[at]
+    places = place[at] | np.where(new, 0, NEXT).astype(np.uint16)
     ends = np.append(first, len(key))
     for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield int(bucket[s]), packed(lefts[s:e]), packed(rights[s:e]), packed(lens[s:e]), packed(places[ends[s] : ends[e]])
-
-
-def _column(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in table.column(name).to_pylist()]])
+        yield int(bucket[s]), _short(lefts[s:e]), _short(rights[s:e]), packed(places[ends[s] : ends[e]])
 
 
 def _cut(column: list[bytes], width: int) -> np.ndarray:
@@ -189,16 +196,20 @@ def _cut(column: list[bytes], width: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum([len(x) // width for x in column], dtype=np.int64)))
 
 
-MET = "kind int, key long, ctx long, suffix long, c long, bucket long, source long, keys binary, lens binary, places binary"
+MET = "kind int, key long, ctx long, suffix long, c long, bucket long, source long, keys binary, places binary"
 
 
 def _met(table: pa.Table, order: int, least: float) -> pa.Table:
     """Of one bucket, kind 0: runs counted at least ``least`` times in training texts; kind 1: the places of these runs."""
-    right, lens, places = _column(table, "rights", np.uint64), _column(table, "lens", np.uint8).astype(np.int64), _column(table, "places", np.uint16)
-    left = _column(table, "lefts", np.uint64)
+    rights = table.column("rights").to_pylist()
+    cut, right = _cut(rights, WIDTH), _long(b"".join(rights))
+    left = _long(b"".join(table.column("lefts").to_pylist()))
+    del rights
+    places = table.column("places").to_pylist()
+    place_cut, places = _cut(places, 2), np.concatenate([np.frombuffer(x, np.uint16) for x in places])
     key = joined(left, right) if order > 1 else right
-    ends = np.cumsum(lens)
-    seen = np.add.reduceat((places < HELD).astype(np.int64), ends - lens)
+    run_of = np.cumsum((places & NEXT) == 0) - 1
+    seen = np.bincount(run_of, (places < HELD).astype(float), len(key)).astype(np.int64)
     at, first = grouped(mix(key))
     c = np.add.reduceat(seen[at], first)
     kept, lead = c >= least, at[first]
@@ -207,15 +218,13 @@ def _met(table: pa.Table, order: int, least: float) -> pa.Table:
     lead, c = lead[kept], c[kept]
     more = {"ctx": left[lead].view(np.int64), "suffix": right[lead].view(np.int64)} if order > 1 else {}
     counted = _rows(MET, len(lead), kind=np.zeros(len(lead), np.int32), key=key[lead].view(np.int64), c=c, **more)
-    cut = _cut(table.column("rights").to_pylist(), 8)
-    place_cut = np.concatenate(([0], ends))[cut]
-    place_stays = np.repeat(stays, lens)
+    place_stays = stays[run_of]
     rows, bucket = [], table.column("bucket")[0].as_py()
     for r, source in enumerate(table.column("source").to_pylist()):
         mine, where = slice(cut[r], cut[r + 1]), slice(place_cut[r], place_cut[r + 1])
         take = stays[mine]
         if take.any():
-            rows.append((bucket, source, packed(key[mine][take]), packed(lens[mine][take].astype(np.uint8)), packed(places[where][place_stays[where]])))
+            rows.append((bucket, source, _short(key[mine][take]), packed(places[where][place_stays[where]])))
     out = [counted] + ([_packed_rows(MET, [(1, None, None, None, None, *r) for r in rows])] if rows else [])
     return pa.Table.from_batches(out)
 
@@ -234,7 +243,7 @@ def grown(nexts: DataFrame, below: DataFrame) -> DataFrame:
     return rows.select("key", "c", logp.alias("logp"), F.coalesce(F.col("upper") - F.col("lower") - F.col("w"), F.lit(0.0)).alias("value"), "ctx", "w")
 
 
-ASKED = "bucket long, kind int, source long, keys binary, lens binary, places binary"
+ASKED = "bucket long, kind int, source long, keys binary, places binary"
 BACK = "source long, docs binary, known binary, base binary, score binary"
 TEXTS = "source long, uid long, doc_id long, held_out boolean, n_tokens long"
 
@@ -251,7 +260,7 @@ def _values(batches, buckets: int) -> Iterator[pa.RecordBatch]:
         keys, values = keys[order], values[order]
         bucket = bucket_of(keys, buckets).astype(np.int64)
         edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)])).tolist()
-        return _packed_rows(ASKED, [(int(bucket[s]), packed(keys[s:e]), packed(values[s:e])) for s, e in zip(edges, edges[1:], strict=False)], kind=2, source=0, lens=None)
+        return _packed_rows(ASKED, [(int(bucket[s]), _short(keys[s:e]), packed(values[s:e])) for s, e in zip(edges, edges[1:], strict=False)], kind=2, source=0)
 
     for batch in batches:
         if batch.num_rows:
@@ -279,12 +288,12 @@ def _answer(table: pa.Table, order: int, space: float) -> pa.Table:
     kind = np.asarray(table.column("kind"))
     asked = table.filter(pa.array(kind == 1))
     keys = asked.column("keys").to_pylist()
-    cut, own = _cut(keys, 8), _column(asked, "keys", np.uint64)
+    cut, own = _cut(keys, WIDTH), _long(b"".join(keys))
     found = []
     for k in (2, 3):
         known = table.filter(pa.array(kind == k))
-        every = np.concatenate([own, _column(known, "keys", np.uint64)])
-        value = np.concatenate([np.zeros(len(own)), _column(known, "places", np.float64)])
+        every = np.concatenate([own, _long(b"".join(known.column("keys").to_pylist()))])
+        value = np.concatenate([np.zeros(len(own)), np.frombuffer(b"".join(known.column("places").to_pylist()), np.float64)])
         sums = np.zeros(len(every))
         if len(every) > len(own):
             at, first = grouped(mix(every))
@@ -293,16 +302,16 @@ def _answer(table: pa.Table, order: int, space: float) -> pa.Table:
     score, count = found
     base = np.log10((count + 0.5) / space) if order == 1 else np.zeros(len(own))
     score = score + base
-    source, lens, places = (asked.column(c).to_pylist() for c in ("source", "lens", "places"))
+    source, places = (asked.column(c).to_pylist() for c in ("source", "places"))
     out, rows = [], sorted(range(len(source)), key=source.__getitem__)
     for name, same in groupby(rows, key=source.__getitem__):
         times, sums = np.zeros(1 << RUN, np.int64), np.zeros((2, 1 << RUN))
         for r in same:
-            mine, many = slice(cut[r], cut[r + 1]), np.frombuffer(lens[r], np.uint8)
-            place = np.frombuffer(places[r], np.uint16) & np.uint16(HELD - 1)
+            place = np.frombuffer(places[r], np.uint16)
+            run, place = np.cumsum((place & NEXT) == 0) - 1 + cut[r], place & np.uint16(NEXT - 1)
             for to, x in zip((sums[0], sums[1]), (score, base), strict=True):
                 if x is score or order == 1:
-                    n = np.bincount(place, np.repeat(x[mine], many))
+                    n = np.bincount(place, x[run])
                     to[: len(n)] += n
             n = np.bincount(place)
             times[: len(n)] += n
@@ -364,7 +373,7 @@ def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int
 
     def answered(order, places, terms):
         """The sums that the places of runs of a length add to their texts; MERGED buckets at a time."""
-        sent = union(places).where("kind = 1").select("bucket", "kind", "source", "keys", "lens", "places")
+        sent = union(places).where("kind = 1").select("bucket", "kind", "source", "keys", "places")
         for kind, x in terms:
             sent = sent.unionByName(x.mapInArrow(lambda it: _values(it, buckets), ASKED).withColumn("kind", F.lit(kind)))
         sent = sent.withColumn("bucket", F.expr(f"bucket div {MERGED}"))
