@@ -9,12 +9,17 @@ validation stays as it is.
   permuted, the check digit is made anew.
 * iban: passes mod 97; country kept, account permuted, check digits made anew.
 * date: year-month-day or day-month-year (month-day-year if only that is a
-  date), a real date from 1000 on; permuted within its period of 400 years.
+  date), a real date from 1000 on; permuted within its period of 400 years,
+  again and again until the year has four digits and, where the month stands
+  first, the day is over 12, so that a pseudonym is read in the order it has.
 * ssn: a valid area, group and serial; permuted among the valid ones.
-* ip: four octets without leading zeros; permuted as one number of 32 bits.
+* ip: four octets without leading zeros, permuted as one number of 32 bits;
+  IPv6, its hexadecimal digits.
 * phone: the digits after the country code.
 * email: letters and digits of the part before the @, each within its class.
-* secret: 32 to 64 hexadecimal digits, with a letter and a digit among them.
+* secret: 32 to 64 hexadecimal digits, with a letter and a digit among them
+  (with letters of both cases, each within its class); access keys of known
+  prefixes, all behind the prefix within its class.
 
 A network of an even number of rounds changes its two halves in turn by adding
 a keyed SHA-512 digest of the other half, per character in its own alphabet or
@@ -23,15 +28,20 @@ modulo the half's size, which is a permutation for any digest.
 Results for odd input: a null text stays null; texts without such values stay
 as they are; repeated rows give repeated results; other columns pass through
 ``pseudonymise`` as they are; ``pseudonym_report`` counts null as 0 values.
+Patterns look a bounded way ahead, so texts without white space take linear
+time. Without a key, one is drawn at random for that call alone.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KEY = "change-this-key"
+#: Steps in which a date is permuted until it fits; one of 10^9 or fewer needs more.
+WALK = 64
 
 EDGE, AFTER = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 DATE_YMD = r"[1-9][0-9]{3}([-/.])[0-9]{1,2}\1[0-9]{1,2}"
@@ -40,7 +50,9 @@ DATE_DMY = r"[0-9]{1,2}([-/.])[0-9]{1,2}\1[1-9][0-9]{3}"
 RANGE = r"(?<=(?<![0-9])(?:[1-9][0-9]{3}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][1-9][0-9]{3})[-/])"
 #: Kind and pattern, the first that fits at a place counts.
 KINDS = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63}"),
+    ("token", EDGE + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,64}|sk-[0-9A-Za-z]{20,64})" + AFTER),
+    ("ipv6", r"(?<![A-Za-z0-9:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![A-Za-z0-9:])"),
     ("secret", EDGE + r"[0-9A-Fa-f]{32,64}" + AFTER),
     ("iban", EDGE + r"[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)" + AFTER),
     ("phone", r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![A-Za-z0-9.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9])|(?<![A-Za-z0-9+.-])(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
@@ -49,8 +61,8 @@ KINDS = [
     ("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
     ("card", EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + AFTER),
 ]
-#: No value starts inside a word, and the first run without white space holds a digit or @; this rules out most places at once.
-GATE = r"(?<![A-Za-z0-9])(?=[0-9A-Za-z+(._%-])(?=\S*?[0-9@])"
+#: No value starts inside a word, and it holds a digit or @ among its first signs; this rules out most places at once.
+GATE = r"(?<![A-Za-z0-9])(?=[0-9A-Za-z+(._%-])(?=\S{0,72}?[0-9@])"
 ANY = GATE + "(?:" + ("|".join(f"(?:{p})" for _, p in KINDS) + ")").replace(r"([.-])[0-9]{3}\1", r"[.-][0-9]{3}[.-]")
 _PATTERN = {k: p.replace(r"([.-])[0-9]{3}\1", r"[.-][0-9]{3}[.-]") for k, p in KINDS}
 
@@ -174,11 +186,20 @@ def _date(m: Column, key: str) -> Column:
     made = lambda mm, dd: F.try_to_date(F.concat_ws("-", year, F.lpad(mm, 2, "0"), F.lpad(dd, 2, "0")), "yyyy-MM-dd")
     dmy = made(part(2), part(1))
     day = F.when(ymd, made(part(2), part(3))).otherwise(F.coalesce(dmy, made(part(1), part(2))))
-    first = F.lit("1800-01-01").cast("date")
+    first, month_first = F.lit("1000-01-01").cast("date"), ~ymd & dmy.isNull()
 
     def moved(days):
         era = F.floor(days / 146097)  # the Gregorian calendar repeats after 400 years of 146,097 days
-        return F.date_add(first, (era * 146097 + permuted_number(days - era * 146097, 189, 773, key, "date")).cast("int"))
+
+        def at(x):
+            return F.date_add(first, (era * 146097 + x).cast("int"))
+
+        def walked(x):
+            fits = (F.year(at(x)) <= 9999) & (~month_first | (F.dayofmonth(at(x)) > 12))
+            return F.when(fits, x).otherwise(permuted_number(x, 189, 773, key, "date"))
+
+        start = permuted_number(days - era * 146097, 189, 773, key, "date")
+        return at(F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda x, _: walked(x)))
 
     wide = lambda x, like: F.lpad(x.cast("string"), F.char_length(like), F.lit("0"))
     loose = (F.char_length(part(2)) == 1) | (F.when(ymd, F.char_length(part(3))).otherwise(F.char_length(part(1))) == 1)
@@ -232,23 +253,39 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    mixed = m.rlike("[A-Fa-f]") & m.rlike("[0-9]") & ~(m.rlike("[a-f]") & m.rlike("[A-F]"))
+    valid, both = m.rlike("[A-Fa-f]") & m.rlike("[0-9]"), m.rlike("[a-f]") & m.rlike("[A-F]")
     new = permuted_text(F.lower(m), key, "secret", True)
-    return F.when(mixed, F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)).otherwise(m)
+    one_case = F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)
+    return F.when(valid, F.when(both, permuted_text(m, key, "secret")).otherwise(one_case)).otherwise(m)
+
+
+def _token(m: Column, key: str) -> Column:
+    prefix = F.regexp_extract(m, "^(A[KS]IA|gh[opsu]_|xox[abp]-|sk-)", 1)
+    rest = _sub(m, F.char_length(prefix) + 1, F.char_length(m))
+    return F.concat(prefix, _into(rest, permuted_text(F.regexp_replace(rest, "[^0-9A-Za-z]", ""), key, "token")))
+
+
+def _ipv6(m: Column, key: str) -> Column:
+    digits = F.regexp_replace(m, ":", "")
+    new = permuted_text(F.lower(digits), key, "ipv6", True)
+    valid = m.rlike("[0-9]") & (F.size(F.filter(F.split(m, ":"), lambda g: F.char_length(g) > 0)) <= 8) & ~(m.rlike("[a-f]") & m.rlike("[A-F]"))
+    return F.when(valid, _into(m, F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new))).otherwise(m)
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str | None = None) -> Column:
     """The pseudonym of one found value; itself where it isn't valid."""
+    key = key or secrets.token_hex(16)
     out = F.lit(None).cast("string")
-    makers = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card}
+    makers = {"email": _email, "token": _token, "ipv6": _ipv6, "secret": _secret, "iban": _iban, "phone": _phone, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card}
     for kind, _ in reversed(KINDS):
         # A found value stands without its surroundings here, so the whole of it has to fit.
         out = F.when(m.rlike(f"^(?:{_PATTERN[kind]})$"), makers[kind](m, key)).otherwise(out)
     return F.coalesce(out, m)
 
 
-def _replaced(docs: DataFrame, key: str) -> DataFrame:
+def _replaced(docs: DataFrame, key: str | None) -> DataFrame:
     """The columns of docs, with __text and __changed (how many values have pseudonyms)."""
+    key = key or secrets.token_hex(16)
     text = F.col("text").cast("string")
     found = F.when(text.rlike("[0-9]") | F.contains(text, F.lit("@")), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     rows = docs.withColumn("__found", found)
@@ -260,12 +297,12 @@ def _replaced(docs: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("__changed", F.when(F.col("__new").isNotNull(), changed).otherwise(0).cast("long"))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """The documents with pseudonyms in ``text``; all columns as they are."""
     out = _replaced(docs, key)
     return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
-def pseudonym_report(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonym_report(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text with pseudonyms and n_replaced."""
     return _replaced(docs.select("doc_id", "text"), key).select("doc_id", F.col("__text").alias("text"), F.col("__changed").alias("n_replaced"))
