@@ -8,7 +8,8 @@ size and a = ceil(threshold x s) the least overlap, a block that meets it holds
 one of the template's first s - a + 1 words (prefix filter); it has at least a
 words (length filter); and the first template word it holds leaves a words or
 more of the template from there on (positional filter). What is left is
-verified by intersecting the sets.
+verified by intersecting the sets, and must hold the words that set the license
+apart from others of nearly the same wording (NEEDS).
 
 The templates are constants of this module, so their words may be broadcast.
 The corpus is exploded only to the blocks that hold a prefix word.
@@ -46,6 +47,19 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("proprietary", "all rights reserved no part of this work may be reproduced without permission"),
 ]
+# Words without which a wording means another license, whatever else it shares.
+NEEDS = {
+    "released under the mit license": ["mit"],
+    "licensed under the apache license version 2 0": ["apache"],
+    "you may not use this file except in compliance with the license": ["compliance"],
+    "this work is licensed under the gnu general public license version 3": ["general", "gnu", "public"],
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": ["general", "gnu", "public"],
+    "licensed under cc by nc 4 0": ["nc"],
+    "licensed under a creative commons attribution share alike 4 0 international license": ["alike", "share"],
+    "redistribution and use in source and binary forms with or without modification are permitted": ["binary", "redistribution"],
+    "this source code form is subject to the terms of the mozilla public license": ["mozilla"],
+    "all rights reserved no part of this work may be reproduced without permission": ["reserved", "rights"],
+}
 THRESHOLD = 0.8
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -87,14 +101,15 @@ def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEM
     least = [max(1, math.ceil(threshold * len(t) - 1e-9)) for t in ordered]
     prefix = [(w, i, p, len(t), a, t) for i, (t, a) in enumerate(zip(ordered, least, strict=True)) for p, w in enumerate(t[: len(t) - a + 1])]
     names = ("word", "template", "place", "size", "least")
-    lines = [F.struct(*[F.lit(x).alias(n) for n, x in zip(names, p[:5], strict=True)], _strings(p[5]).alias("wording")) for p in prefix]
+    needs = lambda template: _strings(NEEDS.get(templates[template][1], [])).alias("needs")
+    lines = [F.struct(*[F.lit(x).alias(n) for n, x in zip(names, p[:5], strict=True)], _strings(p[5]).alias("wording"), needs(p[1])) for p in prefix]
     table = spark.range(1).select(F.inline(F.array(*lines)))
     first_words = _strings(sorted({p[0] for p in prefix}))
     blocks = _blocks(docs, wrapped).where(F.arrays_overlap("words", first_words) & (F.size("words") >= min(least)))
     seeds = blocks.withColumn("word", F.explode(F.array_intersect("words", first_words)))
     near = seeds.join(F.broadcast(table), "word").where((F.size("words") >= F.col("least")) & (F.col("size") - F.col("place") >= F.col("least")))
     overlap = F.size(F.array_intersect("words", "wording"))
-    met = near.withColumn("overlap", overlap).where("overlap >= least")
+    met = near.withColumn("overlap", overlap).where("overlap >= least").where(F.size(F.array_except("needs", "words")) == 0)
     met = met.groupBy("doc_id", "uid", "line", "template").agg(F.max(F.col("overlap") / F.col("size")).alias("containment"))
     label = F.get(_strings([x for x, _ in templates]), F.col("template"))
     return met.select("doc_id", "line", "template", label.alias("label"), "containment")

@@ -17,3 +17,9 @@ def test_wrapped_notices(spark):
     assert got == {1: "mit", 2: "gpl", 3: "mit", 4: ""}
     found = licenses.license_matches(licenses.texts(frame(spark, rows[1:2])), wrapped=True).collect()
     assert [r.label for r in found] == ["gpl"]
+
+
+def test_distinguishing_words(spark):
+    rows = ["Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-NC 4.0.", "released under the license", "Released under the MIT license", "Redistribution and use in source and binary\nforms, with or without\nmodification, are permitted"]
+    got = {r.doc_id: r.labels for r in licenses.license_report(frame(spark, list(enumerate(rows)))).collect()}
+    assert got == {0: "", 1: "", 2: "cc-by-nc", 3: "", 4: "mit", 5: "bsd"}
