@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -10,13 +13,16 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; without one, as in tests, a local one."""
+    """The folder that spark.checkpoint.dir names; without one, a local one if Spark runs in one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomstead-")
         spark.sparkContext.setCheckpointDir(named)
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
     return named.rstrip("/")
 
 
