@@ -21,8 +21,8 @@ the places of all runs are shuffled by the run's hash, packed per source (texts
 that lie together) and bucket; where they meet, runs are counted, and places of
 runs seen too seldom to matter are dropped. The places left meet the terms of
 their runs once these are known, and their sums go back to the texts. Runs of
-several words are handled in ROUNDS parts by ranges of their hashes, so that no
-more than a part of them is in a shuffle at a time.
+several words are handled in parts by ranges of their hashes (ROUNDS), so that
+no more than a part of them is in a shuffle at a time.
 
 Results for odd input: a null text is empty, that is one end symbol; a null
 doc_id is in the training texts and not held out; rows are scored one by one,
@@ -56,8 +56,10 @@ BLOCK, BUCKET = 1 << 20, 1 << 19
 RUN, HELD, NEXT = 13, 0x8000, 0x4000
 #: Bytes of a hash that are shuffled with places.
 WIDTH = 7
-#: Parts by hash in which runs of several words are counted.
-ROUNDS = 5
+#: Parts by hash in which runs of so many symbols are counted, and of more; fewer where less else is stored at the time.
+ROUNDS, MORE = {1: 1, 2: 3, 3: 5}, 4
+#: Parts in which the places of runs of one symbol, the most, meet their terms.
+FIRST = 2
 #: Buckets of counting that are one when terms meet their places.
 MERGED = 12
 _ODD, _MASK = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 8 * WIDTH) - 1)
@@ -342,7 +344,7 @@ def _whole(table: pa.Table, bottom: float) -> pa.Table:
     return pa.Table.from_batches([_rows(SCORED, len(own), **columns, n_known=known[place].astype(np.int64), base_score=base[place], score=score[place])])
 
 
-def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     ``depth`` is the number of words in the longest contexts; each word more is one more level, made by the same
@@ -360,7 +362,7 @@ def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int
 
     def met(order, least):
         """Tables of runs of a length that are seen often enough, and of their places."""
-        parts = rounds if order > 1 else 1
+        parts = ROUNDS.get(order, MORE)
         for part in range(parts):
             sent = rows.select("uid", "fold", "text").mapInArrow(lambda it, part=part: _sent(it, order, buckets, part, parts), SENT)
             yield save(sent.groupBy("bucket").applyInArrow(lambda t: _met(t, order, least), MET))
@@ -377,7 +379,8 @@ def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int
         for kind, x in terms:
             sent = sent.unionByName(x.mapInArrow(lambda it: _values(it, buckets), ASKED).withColumn("kind", F.lit(kind)))
         sent = sent.withColumn("bucket", F.expr(f"bucket div {MERGED}"))
-        return save(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, order, space), BACK))
+        for part in range(parts := FIRST if order == 1 else 1):
+            yield save(sent.where(f"bucket % {parts} = {part}").groupBy("bucket").applyInArrow(lambda t: _answer(t, order, space), BACK))
 
     places = list(met(1, 1))
     words = union(places).where("kind = 0").select("key", "c")
@@ -396,7 +399,7 @@ def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int
             after = save(grown(nexts, level))
             states = after.where("w is not null").select(F.col("ctx").alias("key"), F.col("w").alias("value")).distinct()
             terms = [*terms, (2, as_values(states))]
-        sums.append(answered(order, places, terms))
+        sums += answered(order, places, terms)
         store.drop(*places, *([] if kept is None else [kept]))
         places, kept = more, after
         if after is not None:
