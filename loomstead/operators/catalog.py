@@ -57,18 +57,18 @@ def point_id(label: Column) -> Column:
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
 
 
-def flat_symbols(files: DataFrame, depth: int = 8) -> DataFrame:
-    """uri, name, parent, line and id of all symbols of nested JSON, to a depth.
+def flat_symbols(files: DataFrame, depth: int | None = None) -> DataFrame:
+    """uri, name, parent, line and id of all symbols of nested JSON, or of those to a depth.
 
-    Every level is one explode of the children that the level above left as JSON; nothing is shuffled.
+    Every level is one explode of the children that the level above left as JSON, until a level is empty; nothing is shuffled.
     """
     level = "array<struct<name:string,line:bigint,children:string>>"
     now = files.select("uri", F.lit(None).cast("string").alias("parent"), F.from_json("symbols", level).alias("s"))
-    out = None
-    for _ in range(depth):
+    out, done = None, 0
+    while out is None or done < depth if depth is not None else out is None or not now.isEmpty():
         rows = now.select("uri", "parent", F.explode("s").alias("s"))
         made = rows.select("uri", F.col("s.name").alias("name"), "parent", (F.col("s.line") + 1).alias("line"), symbol_id(F.col("uri"), F.col("s.name"), F.col("s.line") + 1).alias("id"))
-        out = made if out is None else out.unionByName(made)
+        out, done = made if out is None else out.unionByName(made), done + 1
         now = rows.where("s.children is not null").select("uri", F.col("s.name").alias("parent"), F.from_json("s.children", level).alias("s"))
     return out
 

@@ -14,18 +14,19 @@ from .catalog import first_n
 def reach(edges: DataFrame, start: DataFrame, depth: int, predicate: str = "calls", forward: bool = True) -> DataFrame:
     """(node, level): every symbol within ``depth`` hops and its least level.
 
-    Each hop joins only the frontier; nodes seen before leave it, so cycles end.
+    One table of nodes and levels grows by a join and an aggregation a hop, so the plan is linear in the
+    depth. Only the last hop's nodes meet the edges, and a node keeps its least level, so cycles end.
     """
     a, b = ("src", "dst") if forward else ("dst", "src")
-    hops = edges.where(F.col("predicate") == predicate).select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    frontier = start.select("node").distinct()
-    seen = None
+    hops = edges.where(F.col("predicate") == predicate).select(F.col(a).alias("at"), F.col(b).alias("next"))
+    seen = start.select("node", F.lit(0).alias("level")).distinct()
     for level in range(1, depth + 1):
-        step = frontier.join(hops, "node").select(F.col("next").alias("node")).distinct()
-        frontier = step if seen is None else step.join(seen, "node", "left_anti")
-        found = frontier.withColumn("level", F.lit(level))
-        seen = found if seen is None else seen.unionByName(found)
-    return seen
+        met = seen.join(hops, (F.col("node") == F.col("at")) & (F.col("level") == level - 1), "left")
+        both = F.array(F.struct("node", "level"), F.struct(F.col("next").alias("node"), F.lit(level).alias("level")))
+        rows = met.select(F.inline(both)).where("node is not null")
+        # The start may be met again, and then has a level beside 0.
+        seen = rows.groupBy("node", (F.col("level") == 0).alias("start")).agg(F.min("level").alias("level")).drop("start")
+    return seen.where("level > 0")
 
 
 def hotspots(edges: DataFrame, n: int = 20) -> DataFrame:

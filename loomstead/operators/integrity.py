@@ -18,21 +18,27 @@ def leaves(objects: DataFrame, block: int) -> DataFrame:
     return out.select("object_key", F.lit(0).alias("level"), "idx", F.sha2(F.col("d").substr(F.col("from") + 1, F.lit(block)), 256).alias("hash"))
 
 
-def merkle_levels(base: DataFrame, depth: int) -> DataFrame:
-    """All levels up to ``depth``: pairs are hashed together, an odd node with itself; one aggregation a level."""
-    out, now = base, base
-    for level in range(1, depth + 1):
-        pair = now.groupBy("object_key", (F.floor(F.col("idx") / 2)).cast("int").alias("up")).agg(F.sort_array(F.collect_list(F.struct("idx", "hash"))).alias("p"), F.count(F.lit(1)).alias("n"))
-        size = now.groupBy("object_key").agg(F.max("idx").alias("last"))
-        pair = pair.join(size.where("last > 0"), "object_key")
-        left, right = F.get("p", F.lit(0))["hash"], F.coalesce(F.get("p", F.lit(1))["hash"], F.get("p", F.lit(0))["hash"])
-        now = pair.select("object_key", F.lit(level).alias("level"), F.col("up").alias("idx"), F.sha2(F.concat(F.unhex(left), F.unhex(right)), 256).alias("hash"))
-        out = out.unionByName(now)
+def merkle_depth(base: DataFrame) -> int:
+    """Levels above the leaves of the largest tree."""
+    return int(base.agg(F.coalesce(F.max("idx"), F.lit(0))).first()[0]).bit_length()
+
+
+def merkle_levels(base: DataFrame, depth: int | None = None) -> DataFrame:
+    """All levels up to ``depth``, by default up to the root of the largest tree: pairs are hashed together, an odd node with itself.
+
+    Each level is one aggregation of the level below; a tree's last place is counted once and halved from there on.
+    """
+    out, now = base, base.withColumn("last", F.max("idx").over(Window.partitionBy("object_key")))
+    side = lambda n: F.max(F.when(F.col("idx") % 2 == n, F.col("hash")))
+    for level in range(1, (merkle_depth(base) if depth is None else depth) + 1):
+        pair = now.where("last > 0").groupBy("object_key", "last", F.floor(F.col("idx") / 2).cast("int").alias("up")).agg(side(0).alias("l"), side(1).alias("r"))
+        now = pair.select("object_key", F.lit(level).alias("level"), F.col("up").alias("idx"), F.sha2(F.concat(F.unhex("l"), F.unhex(F.coalesce("r", "l"))), 256).alias("hash"), F.expr("last div 2").alias("last"))
+        out = out.unionByName(now.drop("last"))
     return out
 
 
 def merkle_roots(base: DataFrame) -> DataFrame:
-    """(object_key, leaves, root): each tree's leaves folded level by level inside one row."""
+    """(object_key, leaves, root): each tree's leaves folded inside one row, as many times as it has levels."""
     rows = base.groupBy("object_key").agg(F.sort_array(F.collect_list(F.struct("idx", "hash"))).alias("p"))
     hashes = F.transform("p", lambda x: x["hash"])
 
@@ -40,7 +46,9 @@ def merkle_roots(base: DataFrame) -> DataFrame:
         half = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / 2).cast("int")), lambda i: F.sha2(F.concat(F.unhex(F.get(a, 2 * i)), F.unhex(F.coalesce(F.get(a, 2 * i + 1), F.get(a, 2 * i)))), 256))
         return F.when(F.size(a) > 1, half).otherwise(a)
 
-    return rows.select("object_key", F.size("p").alias("leaves"), F.get(F.aggregate(F.sequence(F.lit(1), F.lit(24)), hashes, up), F.lit(0)).alias("root"))
+    # The bits of the last place are the levels; one step more changes nothing.
+    levels = F.char_length(F.bin(F.size("p") - 1))
+    return rows.select("object_key", F.size("p").alias("leaves"), F.get(F.aggregate(F.sequence(F.lit(1), levels), hashes, up), F.lit(0)).alias("root"))
 
 
 def ranges(flagged: DataFrame, key: str, index: str) -> DataFrame:
@@ -145,10 +153,14 @@ def verify_and_repair(shards: DataFrame, hashes: DataFrame, k: int = 4, m: int =
     return per, erasure_decode(whole.select("object_key", "stripe", "shard_idx", "data"), k, m)
 
 
-def merkle_proofs(base: DataFrame, depth: int) -> DataFrame:
-    """object_key, idx, hash and siblings (level, on which side, hash) of every leaf; a missing sibling gives none."""
+def merkle_proofs(base: DataFrame, depth: int | None = None) -> DataFrame:
+    """object_key, idx, hash and siblings (level, on which side, hash) of every leaf; a missing sibling gives none.
+
+    ``depth`` is that of the largest tree, counted if it isn't given; proofs of deeper trees would stop there.
+    """
+    depth = merkle_depth(base) if depth is None else depth
     levels = merkle_levels(base, depth).select("object_key", "level", F.col("idx").alias("at"), F.col("hash").alias("sibling"))
-    step = base.select("object_key", "idx", "hash", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"))
+    step = base.select("object_key", "idx", "hash", F.explode_outer(F.slice(F.sequence(F.lit(0), F.lit(depth)), 1, depth)).alias("level"))
     step = step.withColumn("at", F.expr("shiftright(idx, level) ^ 1"))
     found = step.join(levels, ["object_key", "level", "at"], "left")
     row = F.when(F.col("sibling").isNotNull(), F.struct("level", (F.col("at") % 2 == 0).alias("left"), "sibling"))

@@ -126,9 +126,9 @@ def compress_decompress(spark, d):
     return rows.mapInPandas(run, "doc_id long, packed long, data binary").select("doc_id", n.cast("long").alias("size"), F.sha2("data", 256).alias("hash"), (F.col("packed") <= n + n / 16 + 64).alias("bounded"))
 
 
-@query("grf_04_edges_from_call_hierarchy", "SELECT DISTINCT s AS src, 'calls' AS predicate, t AS dst FROM (SELECT l_partkey % 50 AS s, l_suppkey % 50 AS t FROM lineitem UNION ALL SELECT l_suppkey % 50, l_partkey % 50 FROM lineitem) WHERE s <> t")
+@query("grf_04_edges_from_call_hierarchy", "SELECT DISTINCT s AS src, 'calls' AS predicate, t AS dst FROM (SELECT l_partkey AS s, l_suppkey AS t FROM lineitem UNION ALL SELECT l_suppkey, l_partkey FROM lineitem) WHERE s <> t")
 def edges_from_call_hierarchy(spark, d):
-    x = read(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("src"), (F.col("l_suppkey") % 50).alias("dst")).distinct()
+    x = read(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
     return catalog.hierarchy_edges(x, x.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "calls")
 
 
@@ -231,18 +231,14 @@ def eviction_victim(spark, d):
     return used.groupBy("node_id").agg(F.min_by("key", F.struct("used", "key")).alias("victim"))
 
 
-@query("txt_03_vector_search", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 3), s AS (SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q::DOUBLE[], q::DOUBLE[])), 4) AS score FROM embeddings, q) SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 8")
-def vector_search(spark, d):
-    v = read(spark, d, "embeddings")
-    asked = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), "embedding").collect()  # the asker's vectors
-    qs = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.array(*map(F.lit, r.embedding)).alias("q")) for r in asked])
-    scored = v.withColumn("a", F.explode(qs)).select("a.query_id", "vec_id", F.round(S.cosine(F.col("embedding"), F.col("a.q")), 4).alias("score"))
-    return catalog.first_n(scored, "query_id", [F.desc("score"), "vec_id"], 8)
+#: Queries are the rows whose id is divisible by 50, against all rows.
+NEAREST = "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q::DOUBLE[], q::DOUBLE[])), 4) AS score FROM embeddings, q) SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 8"
 
 
-@query("txt_03_vector_search_all", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q::DOUBLE[], q::DOUBLE[])), 4) AS score FROM embeddings, q) SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 8")
+@query("txt_03_vector_search", NEAREST)
+@query("txt_03_vector_search_all", NEAREST)
 def vector_search_all(spark, d):
-    """txt_03_vector_search and top_01_vector_topk for all queries, the rows whose id is divisible by 50."""
+    """The eight nearest rows of each query."""
     v = read(spark, d, "embeddings")
     return graphs.vector_topk_of_all(v, v.where("vec_id % 50 = 0"))
 

@@ -257,11 +257,15 @@ def stripe_layout(spark, d):
     return segments(spark, d).where("size > 0").select("segment_id", n.alias("stripes"), (n * 1024).alias("padded"))
 
 
-@query("dur_12_bucket_delete_guard", sql("SELECT b AS bucket, CASE WHEN n IS NULL THEN 'unknown' ELSE 'not empty' END AS outcome FROM (SELECT unnest(['src0', 'nowhere']) AS b) LEFT JOIN (SELECT bucket, count(*) AS n FROM objects GROUP BY bucket) ON b = bucket", "objects"))
+@query("dur_12_bucket_delete_guard", sql("WITH b AS (SELECT DISTINCT bucket FROM objects UNION ALL SELECT 'empty'), a AS (SELECT bucket FROM b UNION ALL SELECT 'nowhere') SELECT a.bucket, CASE WHEN b.bucket IS NULL THEN 'unknown' WHEN n > 0 THEN 'not empty' ELSE 'delete' END AS outcome FROM a LEFT JOIN b USING (bucket) LEFT JOIN (SELECT bucket, count(*) AS n FROM objects GROUP BY bucket) USING (bucket)", "objects"))
 def bucket_delete_guard(spark, d):
-    ask = spark.createDataFrame([("src0",), ("nowhere",)], "bucket string")
-    n = objects(spark, d).groupBy("bucket").count()
-    return ask.join(n, "bucket", "left").select("bucket", F.when(F.col("count").isNull(), "unknown").otherwise("not empty").alias("outcome"))
+    """Outcome of a delete of every known bucket, one of them without objects, and of one that nobody knows."""
+    one = lambda name: spark.range(1).select(F.lit(name).alias("bucket"))
+    held = objects(spark, d).select("bucket").distinct()
+    known = held.unionByName(one("empty"))
+    outcome = F.when(~F.col("known"), "unknown").when(F.col("held"), "not empty").otherwise("delete")
+    flags = known.unionByName(one("nowhere")).join(known.withColumn("k", F.lit(True)), "bucket", "left").join(held.withColumn("h", F.lit(True)), "bucket", "left")
+    return flags.select("bucket", F.coalesce("k", F.lit(False)).alias("known"), F.coalesce("h", F.lit(False)).alias("held")).select("bucket", outcome.alias("outcome"))
 
 
 @query("dur_13_bucket_list", sql("SELECT DISTINCT bucket FROM objects", "objects"))

@@ -265,21 +265,20 @@ def placement_top1(spark, d):
     return placement.best_pool(_pools(spark, d)).select("id", "score")
 
 
-@query("jon_10_group_by_owner", sql("SELECT node_id, string_agg(shard, ',' ORDER BY shard) AS shards FROM (SELECT DISTINCT key::VARCHAR AS shard, node_id FROM op_log WHERE key < 40) GROUP BY node_id", "op_log"))
-def group_by_owner(spark, d):
-    o = op_log(spark, d).where("key < 40").select(F.col("key").cast("string").alias("shard"), "node_id").distinct()
-    return placement.by_owner(o.select("shard").distinct(), o).select("node_id", F.array_join("shards", ",").alias("shards"))
+OWNED = sql("SELECT node_id, string_agg(shard, ',' ORDER BY shard) AS shards FROM (SELECT DISTINCT key::VARCHAR AS shard, node_id FROM op_log WHERE key IS NOT NULL) GROUP BY node_id", "op_log")
 
 
-@query("jon_10_group_by_owner_all", sql("SELECT node_id, string_agg(shard, ',' ORDER BY shard) AS shards FROM (SELECT DISTINCT key::VARCHAR AS shard, node_id FROM op_log WHERE key IS NOT NULL) GROUP BY node_id", "op_log"))
-def group_by_owner_all(spark, d):
-    """jon_10_group_by_owner over all keys."""
+@query("jon_10_group_by_owner", OWNED)
+@query("jon_10_group_by_owner_all", OWNED)
+def group_by_owner(spark, d):
+    """The shards of every owner, over all keys."""
     o = op_log(spark, d).select(F.col("key").cast("string").alias("shard"), "node_id").distinct()
     return placement.by_owner(o.select("shard").distinct(), o).select("node_id", F.array_join("shards", ",").alias("shards"))
 
 
-@query("top_06_random_sample", sql("SELECT count(*) AS n FROM (SELECT segment_id FROM segments ORDER BY segment_id LIMIT (SELECT ceil(count(*) * 0.1)::BIGINT FROM segments))", "segments"))
+@query("top_06_random_sample", sql("SELECT segment_id FROM segments ORDER BY sha256(segment_id::VARCHAR || ':42'), segment_id LIMIT (SELECT ceil(count(*) * 0.1)::BIGINT FROM segments)", "segments"))
 def random_sample(spark, d):
+    """A tenth of the segments, rounded up, by a keyed hash: which are drawn."""
     s = segments(spark, d)
     n = -(-s.count() // 10)
-    return s.orderBy(F.xxhash64("segment_id", F.lit(42)), "segment_id").limit(n).agg(F.count(F.lit(1)).alias("n"))
+    return s.orderBy(F.sha2(F.concat(F.col("segment_id").cast("string"), F.lit(":42")), 256), "segment_id").limit(n).select("segment_id")
