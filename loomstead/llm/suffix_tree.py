@@ -57,7 +57,7 @@ RUN, HELD, NEXT = 13, 0x8000, 0x4000
 #: Bytes of a hash that are shuffled with places.
 WIDTH = 7
 #: Parts by hash in which runs of several words are counted.
-ROUNDS = 5
+ROUNDS = 4
 #: Buckets of counting that are one when terms meet their places.
 MERGED = 12
 _ODD, _MASK = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 8 * WIDTH) - 1)
@@ -134,6 +134,15 @@ def _long(x: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
+def _planes(places: np.ndarray) -> bytes:
+    """All low bytes, then all high ones, which are alike among the places of a run and so compress well."""
+    return np.ascontiguousarray(places).view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _merged(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(2, -1).T).view(np.uint16).reshape(-1)
+
+
 def _places(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(source, symbols, where each text begins, places) of texts of one source that lie together."""
     for batch in batches:
@@ -188,7 +197,7 @@ def _by_bucket(key, left, right, place, a: int, order: int, buckets: int):
     places = place[at] | np.where(new, 0, NEXT).astype(np.uint16)
     ends = np.append(first, len(key))
     for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield int(bucket[s]), _short(lefts[s:e]), _short(rights[s:e]), packed(places[ends[s] : ends[e]])
+        yield int(bucket[s]), _short(lefts[s:e]), _short(rights[s:e]), _planes(places[ends[s] : ends[e]])
 
 
 def _cut(column: list[bytes], width: int) -> np.ndarray:
@@ -206,7 +215,7 @@ def _met(table: pa.Table, order: int, least: float) -> pa.Table:
     left = _long(b"".join(table.column("lefts").to_pylist()))
     del rights
     places = table.column("places").to_pylist()
-    place_cut, places = _cut(places, 2), np.concatenate([np.frombuffer(x, np.uint16) for x in places])
+    place_cut, places = _cut(places, 2), np.concatenate([_merged(x) for x in places])
     key = joined(left, right) if order > 1 else right
     run_of = np.cumsum((places & NEXT) == 0) - 1
     seen = np.bincount(run_of, (places < HELD).astype(float), len(key)).astype(np.int64)
@@ -224,7 +233,7 @@ def _met(table: pa.Table, order: int, least: float) -> pa.Table:
         mine, where = slice(cut[r], cut[r + 1]), slice(place_cut[r], place_cut[r + 1])
         take = stays[mine]
         if take.any():
-            rows.append((bucket, source, _short(key[mine][take]), packed(places[where][place_stays[where]])))
+            rows.append((bucket, source, _short(key[mine][take]), _planes(places[where][place_stays[where]])))
     out = [counted] + ([_packed_rows(MET, [(1, None, None, None, None, *r) for r in rows])] if rows else [])
     return pa.Table.from_batches(out)
 
@@ -307,7 +316,7 @@ def _answer(table: pa.Table, order: int, space: float) -> pa.Table:
     for name, same in groupby(rows, key=source.__getitem__):
         times, sums = np.zeros(1 << RUN, np.int64), np.zeros((2, 1 << RUN))
         for r in same:
-            place = np.frombuffer(places[r], np.uint16)
+            place = _merged(places[r])
             run, place = np.cumsum((place & NEXT) == 0) - 1 + cut[r], place & np.uint16(NEXT - 1)
             for to, x in zip((sums[0], sums[1]), (score, base), strict=True):
                 if x is score or order == 1:
