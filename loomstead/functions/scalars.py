@@ -120,3 +120,17 @@ def gf_inv(a: int) -> int:
 def cauchy(k: int, m: int) -> np.ndarray:
     """Coefficients of m parity rows over k data shards."""
     return np.array([[gf_inv((j + 1) ^ (k + i + 1)) for j in range(k)] for i in range(m)], np.uint8)
+
+
+def list_xml(bucket: Column, prefix: Column, contents: Column, token: Column) -> Column:
+    """A page of a listing, its contents (object_key, size, etag), as XML; a token tells that more follow."""
+    # The elements of a listing and their layout.
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/">\n  <Name>'
+    entry = "\n  <Contents>\n    <Key>{}</Key>\n    <Size>{}</Size>\n    <ETag>&quot;{}&quot;</ETag>\n    <StorageClass>STANDARD</StorageClass>\n  </Contents>"
+    a, b, c, d = entry.split("{}")
+    lit = F.lit
+    keys = F.transform(contents, lambda x: F.concat(lit(a), xml_escaped(x["object_key"]), lit(b), x["size"].cast("string"), lit(c), xml_escaped(x["etag"]), lit(d)))
+    next_token = F.when(token.isNotNull(), F.concat(lit("\n  <NextContinuationToken>"), xml_escaped(token), lit("</NextContinuationToken>"))).otherwise("")
+    truncated = F.when(token.isNotNull(), "true").otherwise("false")
+    top = (lit(head), xml_escaped(bucket), lit("</Name>\n  <Prefix>"), xml_escaped(prefix), lit("</Prefix>\n  <KeyCount>"), F.size(contents).cast("string"))
+    return F.concat(*top, lit("</KeyCount>\n  <MaxKeys>1000</MaxKeys>\n  <IsTruncated>"), truncated, lit("</IsTruncated>"), next_token, F.array_join(keys, ""), lit("\n</ListBucketResult>"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import slug
+
 # Fields of a document's front matter and what they are if absent.
 FRONT = {"type": "unknown", "domain": "global", "feature": "none", "status": "active", "date": "unknown", "superseded_by": "none", "superseded_date": "none"}
 # Fixed value: the namespace of point ids.
@@ -94,3 +96,30 @@ def first_n(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """The first n rows of every key; Spark keeps n a task and key before it shuffles."""
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+#: Ends of lines, and white space at both ends of a text, as a Markdown section is cut.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+HEADING = r"(?U)^(#{1,6})\s+(.*)$"
+
+
+def markdown_sections(docs: DataFrame, key: str) -> DataFrame:
+    """(key, index, title, anchor, body) of the sections of each text, cut at its headings.
+
+    What stands before the first heading is "(preamble)" and goes if it is empty; a section with a heading stays even if
+    empty. The n-th repeat of an anchor in a text ends in -n. A null text has no section. Lines are partitioned by key;
+    a text is a unit.
+    """
+    lines = docs.where("text is not null").select(key, F.posexplode(F.split("text", LINE_END, -1)).alias("n", "line"))
+    heads = F.rlike("line", F.lit(HEADING))
+    running = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    cut = lines.withColumn("head", heads).withColumn("section", F.sum(F.col("head").cast("long")).over(running))
+    plain = F.transform(F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("n", "line")))), lambda x: x["line"])
+    title = F.max(F.when(F.col("head"), F.regexp_replace(F.regexp_extract("line", HEADING, 2), ENDS, "")))
+    parts = cut.groupBy(key, "section").agg(title.alias("title"), F.regexp_replace(F.array_join(plain, "\n"), ENDS, "").alias("body"))
+    parts = parts.withColumn("title", F.coalesce("title", F.lit("(preamble)"))).where("title <> '(preamble)' or body <> ''").withColumn("slug", slug(F.col("title")))
+    again = F.row_number().over(Window.partitionBy(key, "slug").orderBy("section")) - 1
+    index = F.row_number().over(Window.partitionBy(key).orderBy("section")) - 1
+    anchor = F.concat("slug", F.when(again > 0, F.concat(F.lit("-"), again.cast("string"))).otherwise(""))
+    return parts.select(key, index.alias("index"), "title", anchor.alias("anchor"), "body")

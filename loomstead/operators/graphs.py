@@ -109,3 +109,22 @@ def vector_topk_of_all(vectors: DataFrame, queries: DataFrame, k: int = 8) -> Da
 
     found = asked.crossJoin(pack(vectors)).mapInArrow(best, "query_id long, vec_id long, score double")
     return first_n(found, "query_id", [F.desc("score"), "vec_id"], k)
+
+
+# The status of points that searches see, and those seen when deprecated ones are asked for.
+ACTIVE = "active"
+ANY_TIER = ["active", "superseded", "deprecated", "deleted"]
+
+
+def vector_search(points: DataFrame, queries: DataFrame, doc_type: str | None = None, domain: str | None = None, include_deprecated: bool = False, k: int = 8) -> DataFrame:
+    """The k nearest points of each query among those whose payload (status, type, domain) fits, with a snippet of chunk_text.
+
+    The payload is filtered before any score; texts are joined to the k rows of a query alone.
+    """
+    fits = points.where(F.col("status").isin(ANY_TIER) if include_deprecated else F.col("status") == ACTIVE)
+    fits = fits.where(F.col("type") == doc_type) if doc_type else fits
+    fits = fits.where(F.col("domain") == domain) if domain else fits
+    text = F.coalesce("chunk_text", F.lit(""))
+    shown = F.concat(F.substring(text, 1, 300), F.when(F.char_length(text) > 300, "\u2026").otherwise(""))
+    found = vector_topk_of_all(fits.select("vec_id", "embedding"), queries, k)
+    return found.join(fits.select("vec_id", "status", "type", "domain", shown.alias("snippet")), "vec_id")

@@ -187,3 +187,34 @@ def tree_divergence(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     path = leaf.select("tree", "node", F.explode(F.filter(up, lambda x: x >= 0)).alias("on"))
     met = path.join(state.select("tree", F.col("node").alias("on"), "differs"), ["tree", "on"])
     return met.groupBy("tree", "node").agg(F.bool_and("differs").alias("all")).where("all").select("tree", "node")
+
+
+def assembled(chunks: DataFrame, objects: DataFrame) -> DataFrame:
+    """(object_key, outcome, data) of each object put together from its chunks in the order they came.
+
+    ``chunks`` has object_key, arrival, idx, data (binary); ``objects`` object_key, chunk_count, hash. The first error is
+    the outcome: "out of order" if a chunk isn't the next index, "incomplete" without all of them, "hash mismatch"; else
+    "ok". Data is given for "ok" alone. An object is a unit.
+    """
+    got = chunks.groupBy("object_key").agg(F.sort_array(F.collect_list(F.struct("arrival", "idx", "data"))).alias("parts"))
+    both = objects.join(got, "object_key", "left").withColumn("parts", F.coalesce("parts", F.array().cast(got.schema["parts"].dataType)))
+    order = F.forall(F.transform("parts", lambda p, i: p["idx"] == i), lambda x: x)
+    data = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), ""))
+    whole = F.coalesce(F.sha2(data, 256) == F.col("hash"), F.lit(False))
+    out = F.when(~order, "out of order").when(F.size("parts") != F.col("chunk_count"), "incomplete").when(~whole, "hash mismatch").otherwise("ok")
+    return both.select("object_key", out.alias("outcome"), F.when(out == "ok", data).alias("data"))
+
+
+def root_mismatches(local: DataFrame, reports: DataFrame) -> DataFrame:
+    """(segment_id, node_id) of the answers (segment_id, node_id, root) that aren't the local root.
+
+    A peer that was asked and failed to answer has a row with a null root, which counts as well.
+    """
+    both = local.select("segment_id", F.col("root").alias("__local")).join(reports, "segment_id")
+    return both.where(~F.col("root").eqNullSafe(F.col("__local"))).select("segment_id", "node_id")
+
+
+def requeued(failed: DataFrame, limit: int) -> DataFrame:
+    """Failed heal requests: below the limit they are queued again, their count of tries one higher; others have failed for good."""
+    again = F.col("retry_count") < limit
+    return failed.withColumns({"requeued": again, "retry_count": F.when(again, F.col("retry_count") + 1).otherwise(F.col("retry_count"))})

@@ -169,3 +169,54 @@ def membership():
         return {"node_id": row["node_id"], "seq": row["seq"], "accepted": bool(accepted), "state": view["state"] if view else None, "incarnation": int(view["incarnation"]) if view else None}
 
     return step
+
+
+def negative_cache(most: int = 0):
+    """Whether a key is known to be absent, for each access of a bucket: deleted, and not written since.
+
+    Beyond ``most`` keys written since (0: no bound) all that is known of the bucket is forgotten. The set is exact: a key
+    that was never deleted is never taken for one that was.
+    """
+
+    def make():
+        gone, written = set(), set()
+
+        def step(row):
+            k, op = row["key"], row["op"]
+            absent = op == "GET" and k in gone and k not in written
+            if op == "DELETE":
+                gone.add(k)
+                written.discard(k)
+            elif op == "PUT":
+                written.add(k)
+                if most and len(written) > most:
+                    gone.clear()
+                    written.clear()
+            return {**row, "absent": absent}
+
+        return step
+
+    return make
+
+
+def group_commit(most: int, flush: int):
+    """The commit that each waiter (at: its time of arrival) of a log is in, and when that starts.
+
+    A commit takes the first waiter and all that wait by the time it starts, ``most`` at the most, and lasts ``flush``;
+    the next starts when it has ended and somebody waits.
+    """
+
+    def make():
+        commit, held, start = -1, 0, None
+
+        def step(row):
+            nonlocal commit, held, start
+            if start is None or row["at"] > start or held >= most:
+                start = row["at"] if start is None else max(row["at"], start + flush)
+                commit, held = commit + 1, 0
+            held += 1
+            return {**row, "commit": commit, "starts": start}
+
+        return step
+
+    return make

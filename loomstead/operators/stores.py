@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +32,54 @@ def upsert(objects: DataFrame, tombstones: DataFrame, writes: DataFrame) -> tupl
     return objects.join(writes, keys, "left_anti").unionByName(writes), tombstones.join(writes, keys, "left_anti")
 
 
-def delete(objects: DataFrame, keys: DataFrame, now: int) -> DataFrame:
-    """A tombstone for every deleted key, with the object's size, null if there was none."""
-    return keys.join(objects, ["bucket", "object_key"], "left").select("bucket", "object_key", F.lit(now).cast("long").alias("deletion_time"), "size")
+def delete(objects: DataFrame, keys: DataFrame, now: int, clock: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Objects without the keys, and a tombstone for each key with the chunks its object had.
 
+    A key that no object has gets a tombstone without chunks. ``objects`` has bucket, object_key and an array, chunks.
+    """
+    by, none = ["bucket", "object_key"], F.array().cast(objects.schema["chunks"].dataType)
+    keys = keys.select(*by).distinct()
+    found = keys.join(objects.select(*by, "chunks"), by, "left")
+    stamp = [F.lit(x).cast("long").alias(n) for x, n in ((now, "deletion_time"), (clock[0], "clock_wall"), (clock[1], "clock_logical"))]
+    return objects.join(keys, by, "left_anti"), found.select(*by, *stamp, F.coalesce("chunks", none).alias("chunks"))
+
+
+#: Operations of a batch: the table each is on, and whether it puts a row or takes one away.
+BATCH = {"PutObject": ("objects", True), "DeleteObject": ("objects", False), "PutTombstone": ("tombstones", True), "DeleteTombstone": ("tombstones", False)}
+
+
+def batch_write(objects: DataFrame, tombstones: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after a batch; in each the last operation on a key (seq orders them) wins.
+
+    All three have (bucket, object_key, value); ``ops`` also has seq and op, one of BATCH.
+    """
+    by, out = ["bucket", "object_key"], []
+    for name, table in (("objects", objects), ("tombstones", tombstones)):
+        puts = [op for op, (of, put) in BATCH.items() if of == name and put]
+        last = newest(ops.where(F.col("op").isin([op for op, (of, _) in BATCH.items() if of == name])), by, ["seq"])
+        out.append(table.select(*by, "value").join(last, by, "left_anti").unionByName(last.where(F.col("op").isin(puts)).select(*by, "value")))
+    return out[0], out[1]
 
-def apply_ops(ops: DataFrame) -> DataFrame:
-    """The last of each key's operations (seq orders them)."""
-    return newest(ops, ["bucket", "object_key"], ["seq"])
+
+def list_pages(objects: DataFrame, size: int = 1000) -> DataFrame:
+    """One listing per bucket, prefix and page of ``size`` keys, in binary order of keys.
+
+    ``contents`` are the page's (object_key, size, etag); ``token`` is the last key of a page that isn't the last, else null.
+    Places come from global ranks, so that no task has to hold a bucket.
+    """
+    ranked = global_rank(objects.select("bucket", "prefix", "object_key", "size", "etag"), "bucket", "prefix", "object_key")
+    group = ranked.groupBy("bucket", "prefix").agg(F.min("rank").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    placed = ranked.join(group, ["bucket", "prefix"]).withColumn("page", F.floor((F.col("rank") - F.col("__first")) / size).cast("long"))
+    pages = placed.groupBy("bucket", "prefix", "page", "__n").agg(F.sort_array(F.collect_list(F.struct("object_key", "size", "etag"))).alias("contents"))
+    more = (F.col("page") + 1) * size < F.col("__n")
+    return pages.select("bucket", "prefix", "page", "contents", F.when(more, F.element_at("contents", -1)["object_key"]).alias("token"))
+
+
+def known_absent(accesses: DataFrame) -> DataFrame:
+    """Accesses (bucket, key, event_id, op) and whether a GET meets a key last deleted, not written since: one window per key."""
+    w = Window.partitionBy("bucket", "key").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("op").isin("PUT", "DELETE"), F.col("op")), ignorenulls=True).over(w)
+    return accesses.withColumn("absent", F.coalesce((F.col("op") == "GET") & (last == "DELETE"), F.lit(False)))
 
 
 def liveness(refs: DataFrame) -> DataFrame:
@@ -143,10 +184,13 @@ def contiguous_parts(ids: DataFrame, column: str, parts: int) -> DataFrame:
 
 
 def global_rank(rows: DataFrame, *order: str) -> DataFrame:
-    """0-based rank over all rows: range partitions, ranks inside each, and the counts of those before."""
+    """0-based rank over all rows: range partitions, ranks inside each, and the counts of those before.
+
+    The ranged rows are kept on disk: both their ranks and their counts must come from one sampling of the ranges.
+    """
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     inside = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    counts = inside.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return inside.join(F.broadcast(before), "__part").withColumn("rank", (F.col("__in") + F.col("__before")).cast("long")).drop("__part", "__in", "__before")

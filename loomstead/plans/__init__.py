@@ -1,6 +1,6 @@
 """The registered queries."""
 
 from ..registry import QUERIES, SQL
-from . import cluster, measures, repair, scans, store_cycles  # noqa: F401
+from . import cluster, measures, object_store, repair, scans, store_cycles  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

@@ -43,22 +43,6 @@ def is_garbage(spark, d):
     return s.select("segment_id", F.when(F.col("state") == "Deleted", True).when(F.col("state") == "Sealed", F.col("size") >= 1000000).otherwise(False).alias("garbage"))
 
 
-@query("dur_05_heal_retry", sql("SELECT event_id, latency_us % 6 + 1 AS retry_count FROM op_log WHERE status >= 500 AND latency_us % 6 + 1 < 4", "op_log"))
-def heal_retry(spark, d):
-    tried = (F.col("latency_us") % 6 + 1).alias("retry_count")
-    return op_log(spark, d).where("status >= 500").select("event_id", tried).where("retry_count < 4")
-
-
-@query("dur_07_continuous_root_compare", sql(f"SELECT s.segment_id, n.node_id FROM segments s, (SELECT node_id, incarnation FROM {NODES} WHERE state = 'Alive') n WHERE s.state = 'Sealed' AND (s.segment_id % 100 = n.incarnation OR s.segment_id % 97 = 0)", "segments"))
-def continuous_root_compare(spark, d):
-    # Every sealed segment's root as each live peer reports it; a report that differs or is missing counts.
-    sealed = segments(spark, d).where("state = 'Sealed'").select("segment_id", F.sha2(F.col("segment_id").cast("string"), 256).alias("root"))
-    peers = _nodes(spark, d).where("state = 'Alive'").agg(F.collect_list(F.struct("node_id", "incarnation")).alias("p")).first().p  # members of a cluster
-    seen = sealed.withColumn("peer", F.explode(F.array(*[F.struct(F.lit(x.node_id).alias("node_id"), F.lit(x.incarnation).alias("incarnation")) for x in peers])))
-    theirs = F.when(F.col("segment_id") % 100 == F.col("peer.incarnation"), "x").when(F.col("segment_id") % 97 == 0, None).otherwise(F.col("root"))
-    return seen.where(~theirs.eqNullSafe(F.col("root"))).select("segment_id", F.col("peer.node_id").alias("node_id"))
-
-
 GF = """WITH RECURSIVE n AS (SELECT unnest(range(256)) AS b), m AS (
 SELECT a.b AS a, n.b AS b, 0 AS i, a.b AS x, 0 AS p FROM n a, n UNION ALL
 SELECT a, b, i + 1, xor((x << 1) & 255, CASE WHEN x >= 128 THEN 29 ELSE 0 END), CASE WHEN (b >> i) & 1 = 1 THEN xor(p, x) ELSE p END FROM m WHERE i < 8), gf AS (SELECT a, b, p FROM m WHERE i = 8)"""

@@ -142,18 +142,6 @@ def rs_decode(spark, d):
     return back.groupBy("object_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("stripe", F.hex("data").alias("h")))), lambda x: x["h"]), "").alias("data"))
 
 
-@query("dur_01_assemble_chunks", sql("SELECT object_key, hash, true AS whole FROM objects WHERE size > 0", "objects"))
-def assemble_chunks(spark, d):
-    docs = read(spark, d, "documents").where("octet_length(text) > 0")
-    o = docs.select(F.concat("lang", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 10, "0")).alias("object_key"), F.hex(F.encode("text", "UTF-8")).alias("x"), F.sha2("text", 256).alias("hash"))
-    at = F.sequence(F.lit(1), F.char_length("x"), F.lit(2000))
-    parts = o.select("object_key", "hash", F.posexplode(at).alias("i", "from"), "x").select("object_key", "hash", "i", F.col("x").substr(F.col("from"), F.lit(2000)).alias("part"))
-    back = parts.groupBy("object_key", "hash").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "part"))), lambda p: p["part"]), "").alias("all"))
-    return back.select("object_key", "hash", (F.sha2(F.unhex("all"), 256) == F.col("hash")).alias("whole"))
-
-
-
-
 @query("grf_02_callees", sql("WITH r(node, level) AS (SELECT dst, 1 FROM edges WHERE predicate = 'calls' AND src = 'p:5' UNION ALL SELECT e.dst, level + 1 FROM r JOIN edges e ON e.src = r.node WHERE predicate = 'calls' AND level < 2) SELECT node, min(level)::INT AS level FROM r GROUP BY node", "edges", recursive=True))
 def callees(spark, d):
     return graphs.reach(edges(spark, d), spark.createDataFrame([("p:5",)], "node string"), 2)
@@ -204,35 +192,11 @@ def test_edges(spark, d):
     return a.join(p.select(F.col("p_name").alias("name"), "p_partkey"), "name").groupBy("src").agg(F.min("p_partkey").alias("dst"))
 
 
-@query("top_01_vector_topk", "WITH v AS (SELECT * FROM embeddings WHERE label IN (SELECT min(label) FROM embeddings)), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 4) AS score FROM v, embeddings q WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 8")
-def vector_topk(spark, d):
-    """The eight nearest rows of one label, the payload, of each query; queries are all rows whose id is divisible by 50."""
-    v = read(spark, d, "embeddings")
-    payload = v.agg(F.min("label").alias("label"))
-    return graphs.vector_topk_of_all(v.join(F.broadcast(payload), "label").select("vec_id", "embedding"), v.where("vec_id % 50 = 0"))
-
-
 @query("agg_18_list_active_docs", "SELECT lang AS type, source AS domain, min(doc_id) AS doc_id FROM documents WHERE lang <> 'de' GROUP BY lang, source")
 def list_active_docs(spark, d):
     return read(spark, d, "documents").where("lang <> 'de'").groupBy(F.col("lang").alias("type"), F.col("source").alias("domain")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("txt_01_chunk_blocks", r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents)
-SELECT doc_id, section, string_agg(line, chr(10) ORDER BY n) AS body FROM (SELECT *, (count(*) FILTER (WHERE n % 3 = 0) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) - 1) AS section FROM l) GROUP BY doc_id, section""")
-def chunk_blocks(spark, d):
-    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "line"))
-    w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    parts = lines.withColumn("section", F.sum((F.col("n") % 3 == 0).cast("long")).over(w) - 1)
-    return parts.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("body"))
-
-
-@query("win_15_anchor_dedup", "SELECT doc_id, slug || CASE WHEN n > 0 THEN '-' || n::VARCHAR ELSE '' END AS anchor FROM (SELECT doc_id, lang AS slug, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS n FROM documents)")
-def anchor_dedup(spark, d):
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    n = F.row_number().over(w) - 1
-    return read(spark, d, "documents").select("doc_id", F.concat("lang", F.when(n > 0, F.concat(F.lit("-"), n.cast("string"))).otherwise("")).alias("anchor"))
-
-
 @query("win_03_hlc_now", sql("SELECT node_id, event_id, max(wall) OVER w AS clock_wall, row_number() OVER w AS clock_logical FROM op_log WINDOW w AS (PARTITION BY node_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)", "op_log"))
 def hlc_now(spark, d):
     return simulations.fold_by_key(op_log(spark, d).select("node_id", "event_id", "wall"), "node_id", ["event_id"], simulations.hybrid_clock, "node_id string, event_id long, clock_wall long, clock_logical long")
@@ -261,12 +225,6 @@ def ttl_lru(spark, d):
     return simulations.fold_by_key(_accesses(spark, d), "bucket", ["event_id"], simulations.ttl_lru_cache(20, 3600), CACHE)
 
 
-@query("cac_03_negative_cache", sql("SELECT DISTINCT key FROM op_log WHERE op = 'DELETE' EXCEPT SELECT key FROM op_log WHERE op = 'PUT' AND event_id > 9000", "op_log"))
-def negative_cache(spark, d):
-    o = op_log(spark, d)
-    return o.where("op = 'DELETE'").select("key").distinct().join(o.where("op = 'PUT' and event_id > 9000").select("key"), "key", "left_anti")
-
-
 @query("cac_05_ttl_expiry", sql("SELECT event_id, prev IS NOT NULL AND wall - prev <= 600000000 AS hit FROM (SELECT event_id, wall, lag(wall) OVER (PARTITION BY key ORDER BY wall, event_id) AS prev FROM op_log)", "op_log"))
 def ttl_expiry(spark, d):
     prev = F.lag("wall").over(Window.partitionBy("key").orderBy("wall", "event_id"))

@@ -145,13 +145,3 @@ def outgoing_hotspots(spark, d):
 def embed(spark, d):
     """No model is at hand: the vectors given stand for a model's."""
     return read(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("dimension"))
-
-
-@query("str_05_group_commit", sql("SELECT segment_id, batch, count(*) AS entries, sum(length)::BIGINT AS bytes FROM (SELECT segment_id, length, (row_number() OVER (PARTITION BY segment_id ORDER BY ordinal, tie, bucket, object_key) - 1) // 4 AS batch FROM chunk_refs) GROUP BY segment_id, batch", "chunk_refs"))
-def group_commit(spark, d):
-    """Waiters of a segment committed together, at most four at a time."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("segment_id").orderBy("ordinal", "tie", "bucket", "object_key")) - 1
-    rows = chunk_refs(spark, d).select("segment_id", "length", F.floor(n / 4).alias("batch"))
-    return rows.groupBy("segment_id", "batch").agg(F.count(F.lit(1)).alias("entries"), F.sum("length").alias("bytes"))

@@ -85,35 +85,11 @@ def config_layering(spark, d):
     return read(spark, d, "orders").select(k.alias("k"), F.coalesce(*layers, F.lit("default")).alias("v"))
 
 
-@query("snk_01_upsert_object", sql("WITH w AS (SELECT bucket, object_key, size + 1 AS size, hash, created_at FROM objects WHERE created_at % 3 = 0) SELECT * FROM objects o WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.bucket = o.bucket AND w.object_key = o.object_key) UNION ALL SELECT * FROM w", "objects"))
-def upsert(spark, d):
-    o = objects(spark, d)
-    writes = o.where("created_at % 3 = 0").withColumn("size", F.col("size") + 1)
-    return stores.upsert(o, o.select("bucket", "object_key"), writes)[0]
-
-
-@query("snk_02_delete_object", sql("SELECT bucket, object_key, 1700000000000 AS deletion_time, CASE WHEN created_at % 6 = 0 THEN size END AS size FROM objects WHERE created_at % 3 = 0", "objects"))
-def delete(spark, d):
-    o = objects(spark, d)
-    return stores.delete(o.where("created_at % 2 = 0"), o.where("created_at % 3 = 0").select("bucket", "object_key"), 1700000000000)
-
-
-@query("snk_03_batch_write", sql("SELECT key, max(event_id) AS seq, max_by(op, event_id) AS op FROM op_log GROUP BY key", "op_log"))
-def batch_write(spark, d):
-    ops = op_log(spark, d).select(F.lit("b").alias("bucket"), F.col("key").alias("object_key"), F.col("event_id").alias("seq"), "op")
-    return stores.apply_ops(ops).select(F.col("object_key").alias("key"), "seq", "op")
-
-
 @query("snk_05_wal_truncate", sql("SELECT event_id, op FROM op_log WHERE event_id > 5000", "op_log"))
 def wal_truncate(spark, d):
     return op_log(spark, d).where("event_id > 5000").select("event_id", "op")
 
 
-@query("snk_09_list_xml", "SELECT page_id, '<Key>' || replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') || '</Key>' AS xml FROM pages")
-def list_xml(spark, d):
-    return read(spark, d, "pages").select("page_id", F.concat(F.lit("<Key>"), S.xml_escaped(F.col("url")), F.lit("</Key>")).alias("xml"))
-
-
 @query("snk_12_mark_deleted", sql("SELECT bucket, object_key, CASE WHEN object_key LIKE 'de/%' THEN 'deleted' ELSE 'active' END AS status FROM objects", "objects"))
 def mark_deleted(spark, d):
     return objects(spark, d).select("bucket", "object_key", F.when(F.col("object_key").startswith("de/"), "deleted").otherwise("active").alias("status"))

@@ -28,6 +28,31 @@ def append(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").partitionBy("file_seq").parquet(path)
 
 
+def truncate(spark: SparkSession, path: str, before: int) -> list[str]:
+    """Drop the folders of a log whose file_seq is less than ``before``; their names. Rows of other files stay as they are."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith("file_seq=")]
+    old = [p for p in found if int(p.getName().split("=")[1]) < before]
+    for p in old:
+        fs.delete(p, True)
+    return sorted(p.getName() for p in old)
+
+
+def write_checkpoint(state: DataFrame, path: str, position: int) -> None:
+    """Keep a state that covers all events up to a position. A folder is whole once Spark has marked it; older ones stay until dropped."""
+    state.write.mode("overwrite").parquet(f"{path}/position={position}")
+
+
+def load_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The state of the newest whole checkpoint and its position; (None, -1) without one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    whole = [int(n.split("=")[1]) for n in names if n.startswith("position=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return (spark.read.parquet(f"{path}/position={max(whole)}"), max(whole)) if whole else (None, -1)
+
+
 def blob_list(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Name and length of every blob in a folder; contents aren't read, as no column of them is."""
     blobs = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
