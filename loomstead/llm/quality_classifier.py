@@ -3,18 +3,20 @@
 Trusted positives are labelled rows of quality 1; the web text of all training
 rows, without its labels, is unlabelled. A logistic model minimises the
 non-negative unbiased risk  p R+(positives) + max(0, R-(unlabelled) - p R-(positives))
-where p, the class prior, is estimated as the share of positives among the
-labelled training rows. Scores are calibrated (Platt) on labelled training
-rows. Features are statistics of the text and hashed words; labels, lang,
-source and doc_id are no inputs.
+where p, the class prior, is estimated from positives and unlabelled text alone:
+on rows that a first model didn't see, the smallest ratio of the unlabelled
+share to the positive share above a cut. Rows of quality 0 are never told apart
+from other text. Features are statistics of the text and hashed words; labels,
+lang, source and doc_id are no inputs.
 
-The fit uses at most ``FIT_ROWS`` rows of each of the three kinds, those with
-the smallest keyed hashes; rows whose crc32 remainder is 0 are in none of them.
-All documents are scored, each on its whole text.
+The fit uses at most ``FIT_ROWS`` rows of both kinds, those with the smallest
+keyed hashes; rows whose crc32 remainder is 0 are in none of them. All documents
+are scored, each on its whole text.
 
 Results for odd input: null and empty texts are scored as empty; without
 trusted positives every score is the prior 0.5; rows are scored one by one,
-repeated or not; a null doc_id is not held out; extra columns are ignored.
+repeated or not, and of a repeated doc_id the smallest text is learnt from; a null
+doc_id is not held out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .scratch import remainder, texts
 from .text_stats import shape, stats
 
 FIT_ROWS, WORDS, STEPS, RATE, CUT = 4000, 256, 400, 0.05, 0.3
+#: Chance that a share in the prior's estimate is farther from the truth than its margin.
+DOUBT = 0.1
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -48,6 +52,13 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def gradients(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float, np.ndarray]:
+    """Of logistic losses: the gradient of the positive part of the risk, its negative part, and that part's gradient."""
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
+    return -prior * p.T @ (1 - sp) / len(p), float(negative), u.T @ su / len(u) - prior * p.T @ sp / len(p)
+
+
 class Model:
     """A linear scorer over standardised features."""
 
@@ -57,76 +68,68 @@ class Model:
         p, u = self._scaled(positive), self._scaled(unlabelled)
         w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
         for t in range(1, STEPS + 1):
-            sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-            # logistic losses: positive -log s, negative -log(1 - s)
-            up = -prior * p.T @ (1 - sp) / len(p)
-            negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-            down = u.T @ su / len(u) - prior * p.T @ sp / len(p)
+            up, negative, down = gradients(w, p, u, prior)
             g = (up + down if negative >= 0 else -down) + 1e-3 * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        self.w, self.a, self.b = w, 1.0, 0.0
+        self.w = w
 
     def _scaled(self, x):
         x = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.hstack([x, np.ones((len(x), 1))])
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        z = self._scaled(x) @ self.w
-        middle, wide = z.mean(), max(z.std(), 1e-6)
-        z = (z - middle) / wide
-        a, b = 1.0, 0.0
-        for _ in range(200):  # Newton steps of two-parameter logistic regression
-            s = _sigmoid(a * z + b)
-            r, d = s - y, np.maximum(s * (1 - s), 1e-6)
-            g = np.array([(r * z).mean() + 1e-4 * a, r.mean()])
-            h = np.array([[(d * z * z).mean() + 1e-4, (d * z).mean()], [(d * z).mean(), d.mean() + 1e-6]])
-            step = np.linalg.solve(h, g)
-            a, b = a - 0.5 * step[0], b - 0.5 * step[1]
-        self.a, self.b = a / wide, b - a * middle / wide
-
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.a * (self._scaled(x) @ self.w) + self.b)
+        return _sigmoid(self._scaled(x) @ self.w)
+
+
+def least_ratio(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of unlabelled over share of positive scores at or above a cut, at the cut where it is surely least."""
+    at = np.sort(positive)[::-1]
+    above = np.arange(1, len(at) + 1) / len(at)
+    mixed = np.searchsorted(-np.sort(unlabelled)[::-1], -at, "right") / len(unlabelled)
+    margin = sum(np.sqrt(np.log(4 / DOUBT) / (2 * n)) for n in (len(positive), len(unlabelled)))
+    best = int(np.argmin((mixed + margin) / above))
+    return float(mixed[best] / above[best])
+
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives in unlabelled text: each half is scored by a model of the other half; 0.5 of fewer than two rows."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        model = Model(positive[k::2], unlabelled[k::2], 0.5)
+        found.append(least_ratio(*(model._scaled(x[1 - k :: 2]) @ model.w for x in (positive, unlabelled))))
+    return float(np.clip(np.mean(found), 0.01, 0.99))
 
-def _sampled(rows: DataFrame, name: str) -> pa.Table:
-    """At most FIT_ROWS rows, those with the smallest keyed hashes, and their features."""
-    take = rows.orderBy(F.xxhash64(F.lit(name), "doc_id"), "doc_id").limit(FIT_ROWS)
+
+def _made(rows: DataFrame) -> np.ndarray:
+    """Features of the texts of a bounded number of rows."""
 
     def made(batches):
         for batch in batches:
             f = features(batch.column("text"))
             at = pa.array(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32))
-            yield pa.record_batch([pa.ListArray.from_arrays(at, pa.array(f.ravel())), batch.column("quality")], names=["f", "quality"])
-
-    return take.select("text", "quality").mapInArrow(made, "f array<float>, quality int").toArrow()
-
+            yield pa.record_batch([pa.ListArray.from_arrays(at, pa.array(f.ravel()))], names=["f"])
 
-def _array(table: pa.Table) -> np.ndarray:
-    f = table.column("f").combine_chunks()
+    f = rows.select("text").mapInArrow(made, "f array<float>").toArrow().column("f").combine_chunks()
     return np.asarray(f.flatten(), np.float32).reshape(len(f), -1) if len(f) else np.zeros((0, 22 + WORDS), np.float32)
 
 
 def fit(rows: DataFrame, labels: DataFrame) -> Model | None:
     rows = rows.where("fold <> 0")
-    named = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality")).where("quality is not null")
+    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1")
     # The ids are drawn before texts move: a join of ids, then of the drawn ids with the texts.
     ids = rows.select("doc_id").where("doc_id is not null").distinct()
-    known = ids.join(named, "doc_id")
-    share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-
-    def drawn(ids: DataFrame, name: str) -> pa.Table:
-        few = ids.orderBy(F.xxhash64(F.lit(name), "doc_id"), "doc_id").limit(FIT_ROWS)
-        return _sampled(rows.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]), name)
-
-    positive = _array(drawn(known.where("quality = 1"), "positive"))
-    unlabelled = _array(drawn(ids.withColumn("quality", F.lit(None).cast("int")), "unlabelled"))
-    if not len(positive) or not len(unlabelled):
-        return None
-    model = Model(positive, unlabelled, float(np.clip(share, 0.01, 0.99)))
-    seen = drawn(known, "calibration")
-    model.calibrate(_array(seen), np.asarray(seen.column("quality")) == 1)
-    return model
+
+    def drawn(ids: DataFrame, name: str) -> np.ndarray:
+        order = [F.xxhash64(F.lit(name), "doc_id"), F.col("doc_id")]
+        few = ids.orderBy(*order).limit(FIT_ROWS)
+        # in the same order wherever the rows were, so that halves and sums are the same
+        return _made(rows.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(*order))
+
+    positive, unlabelled = drawn(ids.join(good.select("doc_id"), "doc_id"), "positive"), drawn(ids, "unlabelled")
+    return Model(positive, unlabelled, class_prior(positive, unlabelled)) if len(positive) and len(unlabelled) else None
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
