@@ -3,7 +3,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..operators import graphs, integrity, simulations, telemetry
 from ..registry import query
 from ..sources.tables import edges, objects, op_log, read, sql, symbols

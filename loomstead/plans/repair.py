@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import graphs, integrity, simulations
 from ..registry import query
 from ..sources import logs
-from ..sources.tables import chunk_refs, edges, op_log, read, sql
+from ..sources.tables import edges, op_log, read, sql
 
 WAL = "SELECT event_id, key % 10 AS file_seq, event_id AS seq, latency_us % 1000 AS length FROM op_log"
 PLACED = f"SELECT *, (coalesce(sum(length + 64) OVER (PARTITION BY file_seq ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM ({WAL})"
