@@ -101,31 +101,48 @@ def stripes_of(data: bytes, k: int, strip: int) -> np.ndarray:
 
 
 def erasure_encode(blobs: DataFrame, k: int = 4, m: int = 2, strip: int = 256) -> DataFrame:
-    """(object_key, stripe, shard_idx, data) of every data and parity shard."""
+    """(object_key, stripe, shard_idx, data) of every data and parity shard; all stripes of a blob are encoded together.
+
+    A blob's last stripe is padded with zeros; an empty blob has one stripe of zeros. A blob is a unit.
+    """
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             for key, data in zip(pdf["object_key"], pdf["data"], strict=True):
-                rows = []
-                for s, stripe in enumerate(stripes_of(bytes(data), k, strip)):
-                    rows += [(key, s, i, x.tobytes()) for i, x in enumerate([*stripe, *encode_stripe(stripe, m)])]
-                yield pd.DataFrame(rows, columns=["object_key", "stripe", "shard_idx", "data"])
+                stripes = stripes_of(bytes(data), k, strip)
+                n = len(stripes)
+                parity = encode_stripe(stripes.transpose(1, 0, 2).reshape(k, -1), m).reshape(m, n, strip).transpose(1, 0, 2)
+                rows = np.concatenate([stripes, parity], axis=1).reshape(-1, strip)
+                yield pd.DataFrame({"object_key": key, "stripe": np.repeat(np.arange(n, dtype=np.int32), k + m), "shard_idx": np.tile(np.arange(k + m, dtype=np.int32), n), "data": [x.tobytes() for x in rows]})
 
     return blobs.select("object_key", "data").mapInPandas(run, "object_key string, stripe int, shard_idx int, data binary")
 
 
 def erasure_decode(shards: DataFrame, k: int = 4, m: int = 2) -> DataFrame:
-    """(object_key, stripe, data) of each stripe from the shards left; a stripe is one bounded group."""
+    """(object_key, stripe, data) of each stripe from the shards left, which are brought together by one aggregation.
 
-    def run(key, pdf):
+    Stripes of a batch that have the same shards left are solved together.
+    """
+
+    def run(batches):
         import pandas as pd
 
-        rows = {int(i): np.frombuffer(bytes(d), np.uint8) for i, d in zip(pdf["shard_idx"], pdf["data"], strict=True)}
-        return pd.DataFrame([(key[0], key[1], decode_stripe(rows, k, m).tobytes())], columns=["object_key", "stripe", "data"])
+        for pdf in batches:
+            alike: dict[tuple, list[int]] = {}
+            for row, left in enumerate(pdf["left"]):
+                alike.setdefault((tuple(x["shard_idx"] for x in left), len(left[0]["data"])), []).append(row)
+            out = [b""] * len(pdf)
+            for (have, strip), rows in alike.items():
+                got = {i: np.frombuffer(b"".join(bytes(pdf["left"][r][at]["data"]) for r in rows), np.uint8) for at, i in enumerate(have)}
+                solved = decode_stripe(got, k, m).reshape(k, len(rows), strip)
+                for at, r in enumerate(rows):
+                    out[r] = solved[:, at].tobytes()
+            yield pd.DataFrame({"object_key": pdf["object_key"], "stripe": pdf["stripe"], "data": out})
 
-    return shards.groupBy("object_key", "stripe").applyInPandas(run, "object_key string, stripe int, data binary")
+    whole = shards.groupBy("object_key", "stripe").agg(F.sort_array(F.collect_list(F.struct("shard_idx", "data"))).alias("left"))
+    return whole.mapInPandas(run, "object_key string, stripe int, data binary")
 
 
 def scrub_report(results: DataFrame) -> DataFrame:
@@ -136,9 +153,34 @@ def scrub_report(results: DataFrame) -> DataFrame:
 
 def parity_section(blobs: DataFrame, k: int = 4, m: int = 2, strip: int = 256) -> DataFrame:
     """Digests of the k data and m parity shards of every complete stripe; an incomplete last one has none."""
-    size = blobs.select("object_key", F.floor(F.octet_length("data") / (k * strip)).alias("whole"))
-    shards = erasure_encode(blobs, k, m, strip).join(size, "object_key").where(F.col("stripe") < F.col("whole"))
-    return shards.select("object_key", "stripe", "shard_idx", F.sha2("data", 256).alias("hash"))
+    whole = (F.floor(F.octet_length("data") / (k * strip)) * k * strip).cast("int")
+    complete = blobs.where(whole > 0).select("object_key", F.col("data").substr(F.lit(1), whole).alias("data"))
+    return erasure_encode(complete, k, m, strip).select("object_key", "stripe", "shard_idx", F.sha2("data", 256).alias("hash"))
+
+
+def xor_parity(shards: DataFrame, k: int = 4, m: int = 2) -> DataFrame:
+    """(object_key, stripe, parity_0, ...): parity shards in hex as XOR aggregates of products, from the k data shards.
+
+    A product with a coefficient maps bytes to bytes, so it is a translation of Latin-1 text; products meet in words of
+    four bytes. Stripes are dealt once, for the words and for putting them together.
+    """
+    every = [chr(b) for b in range(1, 256)]
+    text, index = F.decode("data", "ISO-8859-1"), F.col("shard_idx").cast("int")
+    rows = shards.where(index < k).repartition("object_key", "stripe").withColumn("__text", text)
+    products = []
+    for i, row in enumerate(cauchy(k, m).tolist()):
+        by_shard = [F.translate("__text", "".join(every), "".join(chr(int(gf_mul(ord(b), c))) for b in every)) for c in row]
+        product = F.when(index == 0, by_shard[0])
+        for j in range(1, k):
+            product = product.when(index == j, by_shard[j])
+        products.append(F.hex(F.encode(product, "ISO-8859-1")).alias(f"h{i}"))
+    rows = rows.select("object_key", "stripe", F.octet_length("data").alias("n"), *products)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(4))).alias("at"))
+    word = lambda i: F.conv(F.rpad(F.substring(f"h{i}", F.col("at") * 2 + 1, F.lit(8)), 8, "0"), 16, 10).cast("long")
+    words = rows.groupBy("object_key", "stripe", "at").agg(F.max("n").alias("n"), *[F.bit_xor(word(i)).alias(f"x{i}") for i in range(m)])
+    parts = F.sort_array(F.collect_list(F.struct("at", *[F.lpad(F.hex(f"x{i}"), 8, "0").alias(f"x{i}") for i in range(m)])))
+    whole = words.groupBy("object_key", "stripe").agg(F.max("n").alias("n"), parts.alias("p"))
+    return whole.select("object_key", "stripe", *[F.substring(F.array_join(f"p.x{i}", ""), F.lit(1), F.col("n") * 2).alias(f"parity_{i}") for i in range(m)])
 
 
 def verify_and_repair(shards: DataFrame, hashes: DataFrame, k: int = 4, m: int = 2) -> tuple[DataFrame, DataFrame]:

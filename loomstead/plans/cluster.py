@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import catalog, graphs, integrity, placement
 from ..registry import query
-from ..sources.tables import chunk_refs, edges, objects, op_log, read, segments, sql, symbols
+from ..sources.tables import blobs, chunk_refs, edges, objects, op_log, read, segments, sql, symbols
 from .store_cycles import RING, _ring
 
 NODES = "(SELECT 'n' || s_suppkey::VARCHAR AS node_id, CASE s_suppkey % 3 WHEN 0 THEN 'Alive' WHEN 1 THEN 'Suspect' ELSE 'Dead' END AS state, s_nationkey::BIGINT AS incarnation, '10.0.0.' || s_suppkey::VARCHAR AS address FROM supplier)"
@@ -73,18 +73,7 @@ def cauchy_coeff(spark, d):
 @query("agg_23_rs_parity")
 def rs_parity(spark, d):
     """Parity bytes as an XOR aggregate of products, from the data shards of every stripe."""
-    blobs = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("object_key"), F.encode("text", "UTF-8").alias("data"))
-    data = integrity.erasure_encode(blobs).where("shard_idx < 4").select("object_key", "stripe", "shard_idx", F.hex("data").alias("x"))
-    at = F.sequence(F.lit(0), (F.char_length("x") / 2).cast("int") - 1)
-    byte = data.select("object_key", "stripe", "shard_idx", "x", F.explode(at).alias("at"))
-    byte = byte.select("object_key", "stripe", "shard_idx", "at", F.conv(F.substring("x", F.col("at") * 2 + 1, F.lit(2)), 16, 10).cast("int").alias("b"))
-    log, exp = F.array(*map(F.lit, S.GF_LOG.tolist())), F.array(*map(F.lit, S.GF_EXP.tolist()))
-    parts = []
-    for row in S.cauchy(4, 2).tolist():
-        c = F.get(F.array(*map(F.lit, row)), F.col("shard_idx").cast("int"))
-        parts.append(F.bit_xor(F.when(F.col("b") == 0, 0).otherwise(F.get(exp, F.get(log, F.col("b")) + F.get(log, c)))))
-    out = byte.groupBy("object_key", "stripe", "at").agg(*[p.alias(f"parity_{i}") for i, p in enumerate(parts)])
-    return out.withColumn("at", F.col("at").cast("int"))
+    return integrity.xor_parity(integrity.erasure_encode(blobs(spark, d)))
 
 
 @query("fun_14_zipf_weight", "SELECT r::INT AS rank, round(1.0 / r, 9) AS weight FROM (SELECT unnest(range(1, 101)) AS r)")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs, integrity, simulations, telemetry
 from ..registry import query
-from ..sources.tables import edges, objects, op_log, read, sql, symbols
+from ..sources.tables import BLOBS, PADDED, blobs, edges, objects, op_log, read, sql, symbols
 
 BOUNDS = [1000, 5000, 10000, 50000, 100000, 500000]
 
@@ -125,18 +125,14 @@ def scrub_report(spark, d):
     return integrity.scrub_report(objects(spark, d).withColumn("outcome", F.when(r == 0, "skipped").when(r == 1, "corrupt").when(r == 2, "healed").otherwise("healthy")))
 
 
-def _blobs(spark, d):
-    return read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("object_key"), F.encode("text", "UTF-8").alias("data"))
-
-
 @query("fun_08_rs_encode")
 def rs_encode(spark, d):
-    return integrity.erasure_encode(_blobs(spark, d)).select("object_key", "stripe", "shard_idx", F.hex("data").alias("data"))
+    return integrity.erasure_encode(blobs(spark, d)).select("object_key", "stripe", "shard_idx", F.hex("data").alias("data"))
 
 
-@query("fun_08_rs_decode", "SELECT item_id::VARCHAR AS object_key, rpad(upper(hex(encode(text))), (2048 * ((octet_length(encode(text)) + 1023) // 1024))::INT, '0') AS data FROM benchmark")
+@query("fun_08_rs_decode", f"SELECT object_key, {PADDED} AS data FROM {BLOBS}")
 def rs_decode(spark, d):
-    left = integrity.erasure_encode(_blobs(spark, d)).where("(shard_idx + stripe) % 3 <> 0")
+    left = integrity.erasure_encode(blobs(spark, d)).where("(shard_idx + stripe) % 3 <> 0")
     back = integrity.erasure_decode(left)
     return back.groupBy("object_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("stripe", F.hex("data").alias("h")))), lambda x: x["h"]), "").alias("data"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import graphs, integrity, simulations
 from ..registry import query
 from ..sources import logs
-from ..sources.tables import edges, op_log, read, sql
+from ..sources.tables import BLOBS, PADDED, STRIPES, blobs, edges, op_log, read, sql
 
 WAL = "SELECT event_id, key % 10 AS file_seq, event_id AS seq, latency_us % 1000 AS length FROM op_log"
 PLACED = f"SELECT *, (coalesce(sum(length + 64) OVER (PARTITION BY file_seq ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM ({WAL})"
@@ -38,34 +38,27 @@ def blob_list(spark, d):
     return logs.blob_list(spark, d, "*.parquet")
 
 
-def _blobs(spark, d):
-    return read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("object_key"), F.encode("text", "UTF-8").alias("data"))
-
-
 @query("dur_02_parity_section")
 def parity_section(spark, d):
-    return integrity.parity_section(_blobs(spark, d), strip=64)  # items are short
+    return integrity.parity_section(blobs(spark, d))
 
 
 def _repair(spark, d):
     """Shards of complete and last stripes, one or three of some stripes spoilt."""
-    shards = integrity.erasure_encode(_blobs(spark, d))
+    shards = integrity.erasure_encode(blobs(spark, d))
     hashes = shards.select("object_key", "stripe", "shard_idx", F.sha2("data", 256).alias("hash"))
-    key = F.col("object_key").cast("int")
+    key = F.col("object_key").cast("long")
     spoilt = ((key % 3 == 1) & (F.col("shard_idx") == 0)) | ((key % 3 == 2) & (F.col("shard_idx") < 3))
     now = shards.withColumn("data", F.when(spoilt, F.encode(F.lit("?"), "UTF-8")).otherwise(F.col("data")))
     return integrity.verify_and_repair(now, hashes)
 
 
-STRIPES = "(SELECT item_id, unnest(range((octet_length(encode(text)) + 1023) // 1024)) AS stripe FROM benchmark)"
-
-
-@query("dur_03_verify_and_repair", f"SELECT item_id::VARCHAR AS object_key, stripe::INT AS stripe, CASE item_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS corrupt, item_id % 3 <> 2 AS repairable FROM {STRIPES}")
+@query("dur_03_verify_and_repair", f"SELECT object_key, unnest(range({STRIPES}))::INT AS stripe, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS corrupt, doc_id % 3 <> 2 AS repairable FROM {BLOBS}")
 def verify_and_repair(spark, d):
     return _repair(spark, d)[0].withColumn("stripe", F.col("stripe").cast("int"))
 
 
-@query("dur_04_heal_execute", "SELECT item_id::VARCHAR AS object_key, rpad(upper(hex(encode(text))), (2048 * ((octet_length(encode(text)) + 1023) // 1024))::INT, '0') AS data FROM benchmark WHERE item_id % 3 <> 2")
+@query("dur_04_heal_execute", f"SELECT object_key, {PADDED} AS data FROM {BLOBS} WHERE doc_id % 3 <> 2")
 def heal_execute(spark, d):
     back = _repair(spark, d)[1]
     return back.groupBy("object_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("stripe", F.hex("data").alias("h")))), lambda x: x["h"]), "").alias("data"))

@@ -21,6 +21,18 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("source").alias("bucket"), F.concat("lang", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 10, "0")).alias("object_key"), F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("hash"), F.col("doc_id").alias("created_at"))
 
 
+def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as blobs of bytes; a null text is empty."""
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("object_key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+
+
+#: The same in SQL, the number of stripes of 1,024 bytes of a blob, and its bytes in hex, padded to whole stripes.
+BLOBS = "(SELECT doc_id, doc_id::VARCHAR AS object_key, encode(coalesce(text, '')) AS data FROM documents)"
+STRIPES = "greatest(1, (octet_length(data) + 1023) // 1024)"
+PADDED = f"rpad(upper(hex(data)), (2048 * {STRIPES})::INT, '0')"
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments with state, sealing time and target size."""
     o = read(spark, sf_dir, "orders")

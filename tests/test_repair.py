@@ -4,9 +4,67 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from loomstead import plans
 from loomstead.operators import integrity
 from loomstead.sources import logs
 
+SF = "/root/testdata/sf0.001"
+
+
+def times(a: int, b: int) -> int:
+    """A product in GF(256), bit by bit."""
+    out = 0
+    while b:
+        out, a, b = out ^ (a if b & 1 else 0), (a << 1) ^ (0x11D if a & 0x80 else 0), b >> 1
+    return out
+
+
+def plain_shards(data: bytes, k: int = 4, m: int = 2, strip: int = 256) -> dict[tuple[int, int], bytes]:
+    size, out = k * strip, {}
+    products = {}
+    for i in range(m):
+        for j in range(k):
+            c = next(x for x in range(1, 256) if times(x, (j + 1) ^ (k + i + 1)) == 1)
+            products[i, j] = bytes(times(b, c) for b in range(256))
+    for s in range(max(1, -(-len(data) // size))):
+        part = data[s * size : (s + 1) * size].ljust(size, b"\0")
+        rows = [part[j * strip : (j + 1) * strip] for j in range(k)]
+        for i in range(m):
+            total = 0
+            for j in range(k):
+                total ^= int.from_bytes(rows[j].translate(products[i, j]), "big")
+            rows.append(total.to_bytes(strip, "big"))
+        out.update({(s, j): x for j, x in enumerate(rows)})
+    return out
+
+
+def test_all_documents_have_the_shards_of_a_plain_encoder(spark):
+    texts = {str(r.doc_id): (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    want = {(key, *at): x for key, data in texts.items() for at, x in plain_shards(data).items()}
+    assert any(s > 5 for _, s, _ in want)
+    got = plans.QUERIES["fun_08_rs_encode"](spark, SF).collect()
+    assert len(got) == len(want) and all(bytes.fromhex(r.data) == want[r.object_key, r.stripe, r.shard_idx] for r in got)
+    got = plans.QUERIES["agg_23_rs_parity"](spark, SF).collect()
+    assert len(got) == len({x[:2] for x in want})
+    assert all((bytes.fromhex(r.parity_0), bytes.fromhex(r.parity_1)) == (want[r.object_key, r.stripe, 4], want[r.object_key, r.stripe, 5]) for r in got)
+    got = plans.QUERIES["dur_02_parity_section"](spark, SF).collect()
+    assert {(r.object_key, r.stripe, r.shard_idx): r.hash for r in got} == {at: hashlib.sha256(x).hexdigest() for at, x in want.items() if at[1] < len(texts[at[0]]) // 1024}
+
+
+def test_shards_of_odd_blobs_and_any_loss_of_two(spark):
+    blobs = {"": b"", "zeros": bytes(9), "bytes": bytes(range(256)) * 3, "one": b"\xff"}
+    frame = spark.createDataFrame([(k, bytearray(v)) for k, v in blobs.items()], "object_key string, data binary")
+    shards = integrity.erasure_encode(frame, strip=7)
+    want = {(key, *at): x for key, data in blobs.items() for at, x in plain_shards(data, strip=7).items()}
+    assert {(r.object_key, r.stripe, r.shard_idx): bytes(r.data) for r in shards.collect()} == want
+    parity = integrity.xor_parity(shards).collect()
+    assert len(parity) == len(want) // 6 and all(bytes.fromhex(r.parity_1) == want[r.object_key, r.stripe, 5] for r in parity)
+    lost = "shard_idx <> stripe % 6 and shard_idx <> (stripe * 5 + 2) % 6"
+    for r in integrity.erasure_decode(shards.where(lost)).collect():
+        assert bytes(r.data) == b"".join(want[r.object_key, r.stripe, j] for j in range(4))
+    none = spark.createDataFrame([], "object_key string, data binary")
+    assert integrity.erasure_decode(integrity.erasure_encode(none)).count() == integrity.xor_parity(integrity.erasure_encode(none)).count() == 0
+
 
 def test_proofs_of_full_trees_lead_to_the_root(spark):
     rows = [("full", i, hashlib.sha256(bytes([i])).hexdigest()) for i in range(8)] + [("odd", i, hashlib.sha256(bytes([i])).hexdigest()) for i in range(5)]
