@@ -20,7 +20,8 @@ weight. Every such term belongs to one run of words. For each length of runs,
 the places of all runs are shuffled by the run's hash, packed per source (texts
 that lie together) and bucket; where they meet, runs are counted, and places of
 runs seen too seldom to matter are dropped. The places left meet the terms of
-their runs once these are known, and their sums go back to the texts. Runs of
+their runs once these are known, a range of buckets (of MEETINGS) at a time, and
+their sums go back to the texts. Runs of
 several words are handled in ROUNDS parts by ranges of their hashes, so that no
 more than a part of them is in a shuffle at a time.
 
@@ -58,6 +59,8 @@ RUN, HELD, NEXT = 13, 0x8000, 0x4000
 WIDTH = 7
 #: Parts by hash in which runs of several words are counted.
 ROUNDS = 5
+#: Ranges of buckets in which terms meet their places, one after the other, so that only one's places are in a shuffle.
+MEETINGS = 2
 #: Buckets of counting that are one when terms meet their places.
 MERGED = 12
 _ODD, _MASK = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 8 * WIDTH) - 1)
@@ -248,8 +251,8 @@ BACK = "source long, docs binary, known binary, base binary, score binary"
 TEXTS = "source long, uid long, doc_id long, held_out boolean, n_tokens long"
 
 
-def _values(batches, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Kind 2: (key, value) rows packed by bucket."""
+def _values(batches, buckets: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """Kind 2: (key, value) rows packed by bucket, of the buckets from low to high - 1."""
     held, size = [], 0
 
     def block():
@@ -263,9 +266,12 @@ def _values(batches, buckets: int) -> Iterator[pa.RecordBatch]:
         return _packed_rows(ASKED, [(int(bucket[s]), _short(keys[s:e]), packed(values[s:e])) for s, e in zip(edges, edges[1:], strict=False)], kind=2, source=0)
 
     for batch in batches:
-        if batch.num_rows:
-            held.append((np.asarray(batch.column("key")).view(np.uint64), np.asarray(batch.column("value")).astype(float)))
-            size += batch.num_rows
+        keys = np.asarray(batch.column("key")).view(np.uint64)
+        bucket = bucket_of(keys, buckets)
+        take = np.flatnonzero((bucket >= low) & (bucket < high))
+        if len(take):
+            held.append((keys[take], np.asarray(batch.column("value")).astype(float)[take]))
+            size += len(take)
         if size >= BLOCK:
             yield block()
     if held:
@@ -372,12 +378,14 @@ def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int
         return out
 
     def answered(order, places, terms):
-        """The sums that the places of runs of a length add to their texts; MERGED buckets at a time."""
-        sent = union(places).where("kind = 1").select("bucket", "kind", "source", "keys", "places")
-        for kind, x in terms:
-            sent = sent.unionByName(x.mapInArrow(lambda it: _values(it, buckets), ASKED).withColumn("kind", F.lit(kind)))
-        sent = sent.withColumn("bucket", F.expr(f"bucket div {MERGED}"))
-        return save(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, order, space), BACK))
+        """Tables of the sums that the places of runs of a length add to their texts; MERGED buckets at a time."""
+        for n in range(MEETINGS):
+            low, high = buckets * n // MEETINGS, buckets * (n + 1) // MEETINGS
+            sent = union(places).where(f"kind = 1 and bucket >= {low} and bucket < {high}").select("bucket", "kind", "source", "keys", "places")
+            for kind, x in terms:
+                sent = sent.unionByName(x.mapInArrow(lambda it, low=low, high=high: _values(it, buckets, low, high), ASKED).withColumn("kind", F.lit(kind)))
+            sent = sent.withColumn("bucket", F.expr(f"bucket div {MERGED}"))
+            yield save(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, order, space), BACK))
 
     places = list(met(1, 1))
     words = union(places).where("kind = 0").select("key", "c")
@@ -396,7 +404,7 @@ def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int
             after = save(grown(nexts, level))
             states = after.where("w is not null").select(F.col("ctx").alias("key"), F.col("w").alias("value")).distinct()
             terms = [*terms, (2, as_values(states))]
-        sums.append(answered(order, places, terms))
+        sums += answered(order, places, terms)
         store.drop(*places, *([] if kept is None else [kept]))
         places, kept = more, after
         if after is not None:
