@@ -251,8 +251,8 @@ BACK = "source long, docs binary, known binary, base binary, score binary"
 TEXTS = "source long, uid long, doc_id long, held_out boolean, n_tokens long"
 
 
-def _values(batches, buckets: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """Kind 2: (key, value) rows packed by bucket, of the buckets from low to high - 1."""
+def _values(batches, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Kind 2: (key, value) rows packed by bucket."""
     held, size = [], 0
 
     def block():
@@ -266,12 +266,9 @@ def _values(batches, buckets: int, low: int, high: int) -> Iterator[pa.RecordBat
         return _packed_rows(ASKED, [(int(bucket[s]), _short(keys[s:e]), packed(values[s:e])) for s, e in zip(edges, edges[1:], strict=False)], kind=2, source=0)
 
     for batch in batches:
-        keys = np.asarray(batch.column("key")).view(np.uint64)
-        bucket = bucket_of(keys, buckets)
-        take = np.flatnonzero((bucket >= low) & (bucket < high))
-        if len(take):
-            held.append((keys[take], np.asarray(batch.column("value")).astype(float)[take]))
-            size += len(take)
+        if batch.num_rows:
+            held.append((np.asarray(batch.column("key")).view(np.uint64), np.asarray(batch.column("value")).astype(float)))
+            size += batch.num_rows
         if size >= BLOCK:
             yield block()
     if held:
@@ -358,6 +355,7 @@ def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int
     rows = texts(docs).select("doc_id", "uid", "text", remainder(F.col("doc_id")).alias("fold"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism, size // (4 * BUCKET) + 1)
+    in_sql = f"shiftrightunsigned(shiftrightunsigned(shiftleft(key, 22), 32) * {buckets}L, 32)"  # bucket_of
 
     def save(frame):
         out = store.save(frame)
@@ -380,10 +378,10 @@ def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int
     def answered(order, places, terms):
         """Tables of the sums that the places of runs of a length add to their texts; MERGED buckets at a time."""
         for n in range(MEETINGS):
-            low, high = buckets * n // MEETINGS, buckets * (n + 1) // MEETINGS
-            sent = union(places).where(f"kind = 1 and bucket >= {low} and bucket < {high}").select("bucket", "kind", "source", "keys", "places")
+            span = f"between {buckets * n // MEETINGS} and {buckets * (n + 1) // MEETINGS - 1}"
+            sent = union(places).where(f"kind = 1 and bucket {span}").select("bucket", "kind", "source", "keys", "places")
             for kind, x in terms:
-                sent = sent.unionByName(x.mapInArrow(lambda it, low=low, high=high: _values(it, buckets, low, high), ASKED).withColumn("kind", F.lit(kind)))
+                sent = sent.unionByName(x.where(f"{in_sql} {span}").mapInArrow(lambda it: _values(it, buckets), ASKED).withColumn("kind", F.lit(kind)))
             sent = sent.withColumn("bucket", F.expr(f"bucket div {MERGED}"))
             yield save(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, order, space), BACK))
 
