@@ -233,7 +233,10 @@ def _met(table: pa.Table, order: int, least: float) -> pa.Table:
 
 
 def grown(nexts: DataFrame, below: DataFrame) -> DataFrame:
-    """Next words (key, c, logp, value) of contexts that are runs in ``below`` (key, c, logp), with ctx and its ln weight, null where ctx is no state."""
+    """Next words (key, c, logp, value) of contexts that are runs in ``below`` (key, c, logp), with ctx.
+
+    One of a context's rows has its ln weight as w if the context is a state; others have null.
+    """
     rows = nexts.join(below.select(F.col("key").alias("suffix"), F.col("logp").alias("lower")), "suffix")
     rows = rows.join(below.select(F.col("key").alias("ctx"), F.col("c").alias("context")), "ctx")
     of_ctx = Window.partitionBy("ctx")
@@ -241,9 +244,9 @@ def grown(nexts: DataFrame, below: DataFrame) -> DataFrame:
     rows = rows.withColumn("upper", F.ln((F.col("c") - DISCOUNT) / F.col("context") + F.col("weight") * F.exp("lower")))
     rest = F.col("context") - F.sum("c").over(of_ctx)
     gain = F.sum(F.expr("c * (upper - lower)")).over(of_ctx) + rest * F.ln("weight")
-    rows = rows.withColumn("w", F.when(gain / F.col("context") >= DIVERGENCE, F.ln("weight")))
+    rows = rows.withColumn("lead", F.col("key") == F.min("key").over(of_ctx)).withColumn("w", F.when(gain / F.col("context") >= DIVERGENCE, F.ln("weight")))
     logp = F.when(F.col("w").isNotNull(), F.col("upper")).otherwise(F.col("lower"))
-    return rows.select("key", "c", logp.alias("logp"), F.coalesce(F.col("upper") - F.col("lower") - F.col("w"), F.lit(0.0)).alias("value"), "ctx", "w")
+    return rows.select("key", "c", logp.alias("logp"), F.coalesce(F.col("upper") - F.col("lower") - F.col("w"), F.lit(0.0)).alias("value"), "ctx", F.when(F.col("lead"), F.col("w")).alias("w"))
 
 
 ASKED = "bucket long, kind int, source long, keys binary, places binary"
@@ -400,7 +403,7 @@ def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int
             more = list(met(order + 1, least))
             nexts = union(more).where("kind = 0").select("key", "ctx", "suffix", "c")
             after = save(grown(nexts, level))
-            states = after.where("w is not null").select(F.col("ctx").alias("key"), F.col("w").alias("value")).distinct()
+            states = after.where("w is not null").select(F.col("ctx").alias("key"), F.col("w").alias("value"))
             terms = [*terms, (2, as_values(states))]
         sums += answered(order, places, terms)
         store.drop(*places, *([] if kept is None else [kept]))
