@@ -58,7 +58,7 @@ RUN, HELD, NEXT = 13, 0x8000, 0x4000
 #: Bytes of a hash that are shuffled with places.
 WIDTH = 7
 #: Parts by hash in which runs of several words are counted.
-ROUNDS = 5
+ROUNDS = 4
 #: Ranges of buckets in which terms meet their places, one after the other, so that only one's places are in a shuffle.
 MEETINGS = 2
 #: Buckets of counting that are one when terms meet their places.
