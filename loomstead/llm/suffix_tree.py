@@ -20,8 +20,8 @@ weight. Every such term belongs to one run of words. For each length of runs,
 the places of all runs are shuffled by the run's hash, packed per source (texts
 that lie together) and bucket; where they meet, runs are counted, and places of
 runs seen too seldom to matter are dropped. The places left meet the terms of
-their runs once these are known, a range of buckets (of MEETINGS) at a time, and
-their sums go back to the texts. Runs of
+their runs once these are known, and their sums go back to the texts; places of
+single words, the most, do so a range of buckets (of FIRST) at a time. Runs of
 several words are handled in ROUNDS parts by ranges of their hashes, so that no
 more than a part of them is in a shuffle at a time.
 
@@ -59,8 +59,8 @@ RUN, HELD, NEXT = 13, 0x8000, 0x4000
 WIDTH = 7
 #: Parts by hash in which runs of several words are counted.
 ROUNDS = 4
-#: Ranges of buckets in which terms meet their places, one after the other, so that only one's places are in a shuffle.
-MEETINGS = 2
+#: Ranges of buckets in which the places of single words, the most, meet their terms, one range after the other.
+FIRST = 2
 #: Buckets of counting that are one when terms meet their places.
 MERGED = 12
 _ODD, _MASK = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 8 * WIDTH) - 1)
@@ -380,8 +380,9 @@ def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int
 
     def answered(order, places, terms):
         """Tables of the sums that the places of runs of a length add to their texts; MERGED buckets at a time."""
-        for n in range(MEETINGS):
-            span = f"between {buckets * n // MEETINGS} and {buckets * (n + 1) // MEETINGS - 1}"
+        ranges = FIRST if order == 1 else 1
+        for n in range(ranges):
+            span = f"between {buckets * n // ranges} and {buckets * (n + 1) // ranges - 1}"
             sent = union(places).where(f"kind = 1 and bucket {span}").select("bucket", "kind", "source", "keys", "places")
             for kind, x in terms:
                 sent = sent.unionByName(x.where(f"{in_sql} {span}").mapInArrow(lambda it: _values(it, buckets), ASKED).withColumn("kind", F.lit(kind)))
