@@ -20,10 +20,10 @@ weight. Every such term belongs to one run of words. For each length of runs,
 the places of all runs are shuffled by the run's hash, packed per source (texts
 that lie together) and bucket; where they meet, runs are counted, and places of
 runs seen too seldom to matter are dropped. The places left meet the terms of
-their runs once these are known, and their sums go back to the texts; places of
-single words, the most, do so a range of buckets (of FIRST) at a time. Runs of
-several words are handled in ROUNDS parts by ranges of their hashes, so that no
-more than a part of them is in a shuffle at a time.
+their runs once these are known, and their sums go back to the texts. Runs of
+several words are counted in parts (ROUNDS) by ranges of their hashes, so that no
+more than a part of them is in a shuffle at a time; a shuffle's files are let go
+of before the next one writes its own.
 
 Results for odd input: a null text is empty, that is one end symbol; a null
 doc_id is in the training texts and not held out; rows are scored one by one,
@@ -34,6 +34,7 @@ probabilities are 1; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -57,10 +58,9 @@ BLOCK, BUCKET = 1 << 20, 1 << 19
 RUN, HELD, NEXT = 13, 0x8000, 0x4000
 #: Bytes of a hash that are shuffled with places.
 WIDTH = 7
-#: Parts by hash in which runs of several words are counted.
-ROUNDS = 4
-#: Ranges of buckets in which the places of single words, the most, meet their terms, one range after the other.
-FIRST = 2
+#: Parts by hash in which runs of 1, 2, ... words are counted, the last for all longer ones: most for runs of three,
+#: as the places of pairs, the most that are stored, lie beside them.
+ROUNDS = (1, 2, 3, 2)
 #: Buckets of counting that are one when terms meet their places.
 MERGED = 12
 _ODD, _MASK = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 8 * WIDTH) - 1)
@@ -128,13 +128,14 @@ SENT = "bucket long, kind int, source long, lefts binary, rights binary, places
 
 def _short(x: np.ndarray) -> bytes:
     """The low WIDTH bytes of each number."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+    x = np.ascontiguousarray(x)
+    return np.ndarray((len(x),), f"V{WIDTH}", x, strides=(8,)).tobytes() if len(x) else b""
 
 
 def _long(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // WIDTH, 8), np.uint8)
-    out[:, :WIDTH] = np.frombuffer(x, np.uint8).reshape(-1, WIDTH)
-    return out.reshape(-1).view(np.uint64)
+    if not x:
+        return np.zeros(0, np.uint64)
+    return np.ndarray((len(x) // WIDTH,), "<u8", x + b"\0", strides=(WIDTH,)) & _MASK
 
 
 def _places(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -187,11 +188,12 @@ def _by_bucket(key, left, right, place, a: int, order: int, buckets: int):
     first = np.flatnonzero(new)
     bucket, start = bucket_of(key[first], buckets).astype(np.int64), at[first]
     edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(first)]))
-    lefts, rights = left[start] if order > 1 else left[:0], right[start]
+    lefts, rights = _short(left[start] if order > 1 else left[:0]), _short(right[start])
     places = place[at] | np.where(new, 0, NEXT).astype(np.uint16)
     ends = np.append(first, len(key))
     for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield int(bucket[s]), _short(lefts[s:e]), _short(rights[s:e]), packed(places[ends[s] : ends[e]])
+        mine = slice(WIDTH * s, WIDTH * e)
+        yield int(bucket[s]), lefts[mine], rights[mine], packed(places[ends[s] : ends[e]])
 
 
 def _cut(column: list[bytes], width: int) -> np.ndarray:
@@ -348,26 +350,29 @@ def _whole(table: pa.Table, bottom: float) -> pa.Table:
     return pa.Table.from_batches([_rows(SCORED, len(own), **columns, n_known=known[place].astype(np.int64), base_score=base[place], score=score[place])])
 
 
-def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     ``depth`` is the number of words in the longest contexts; each word more is one more level, made by the same
-    step. With p_min, words, states and next words also need that share of the training symbols.
+    step. With p_min, words, states and next words also need that share of the training symbols. ``rounds`` is the
+    number of parts in which runs of several words are counted, ROUNDS if None.
     """
     spark, store = docs.sparkSession, Scratch(docs.sparkSession)
     rows = texts(docs).select("doc_id", "uid", "text", remainder(F.col("doc_id")).alias("fold"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism, size // (4 * BUCKET) + 1)
-    in_sql = f"shiftrightunsigned(shiftrightunsigned(shiftleft(key, 22), 32) * {buckets}L, 32)"  # bucket_of
 
     def save(frame):
         out = store.save(frame)
-        spark.sparkContext._jvm.System.gc()  # lets go of the shuffle's files
+        del frame
+        for _ in range(2):  # Python's end of the frame reaches the JVM a little later, and only then do the shuffle's files go
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
         return out
 
     def met(order, least):
         """Tables of runs of a length that are seen often enough, and of their places."""
-        parts = rounds if order > 1 else 1
+        parts = rounds if rounds and order > 1 else ROUNDS[min(order, len(ROUNDS)) - 1]
         for part in range(parts):
             sent = rows.select("uid", "fold", "text").mapInArrow(lambda it, part=part: _sent(it, order, buckets, part, parts), SENT)
             yield save(sent.groupBy("bucket").applyInArrow(lambda t: _met(t, order, least), MET))
@@ -379,15 +384,12 @@ def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int
         return out
 
     def answered(order, places, terms):
-        """Tables of the sums that the places of runs of a length add to their texts; MERGED buckets at a time."""
-        ranges = FIRST if order == 1 else 1
-        for n in range(ranges):
-            span = f"between {buckets * n // ranges} and {buckets * (n + 1) // ranges - 1}"
-            sent = union(places).where(f"kind = 1 and bucket {span}").select("bucket", "kind", "source", "keys", "places")
-            for kind, x in terms:
-                sent = sent.unionByName(x.where(f"{in_sql} {span}").mapInArrow(lambda it: _values(it, buckets), ASKED).withColumn("kind", F.lit(kind)))
-            sent = sent.withColumn("bucket", F.expr(f"bucket div {MERGED}"))
-            yield save(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, order, space), BACK))
+        """Table of the sums that the places of runs of a length add to their texts; MERGED buckets at a time."""
+        sent = union(places).where("kind = 1").select("bucket", "kind", "source", "keys", "places")
+        for kind, x in terms:
+            sent = sent.unionByName(x.mapInArrow(lambda it: _values(it, buckets), ASKED).withColumn("kind", F.lit(kind)))
+        sent = sent.withColumn("bucket", F.expr(f"bucket div {MERGED}"))
+        return save(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, order, space), BACK))
 
     places = list(met(1, 1))
     words = union(places).where("kind = 0").select("key", "c")
@@ -406,7 +408,7 @@ def score_texts(docs: DataFrame, p_min: float = 0.0, depth: int = 2, rounds: int
             after = save(grown(nexts, level))
             states = after.where("w is not null").select(F.col("ctx").alias("key"), F.col("w").alias("value"))
             terms = [*terms, (2, as_values(states))]
-        sums += answered(order, places, terms)
+        sums.append(answered(order, places, terms))
         store.drop(*places, *([] if kept is None else [kept]))
         places, kept = more, after
         if after is not None:

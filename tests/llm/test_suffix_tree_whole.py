@@ -1,13 +1,16 @@
 """The suffix tree's size isn't bounded by the corpus size, and its contexts can be longer than two words."""
 
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from test_llm_operators import corpus, frame, words
 
 from loomstead.llm import suffix_tree
+from loomstead.llm.scratch import Scratch
 
 
 def held(i):
@@ -69,3 +72,29 @@ def test_few_counts_are_kept_in_a_large_corpus(spark):
     rows = [(train[0], "a " * 4_500_000), *[(i, "seldom pair") for i in train[1:]], (new, "seldom pair")]
     r = next(r for r in suffix_tree.score_texts(frame(spark, rows)).collect() if r.doc_id == new)
     assert r.score - r.base_score > 10
+
+
+def test_a_shuffle_is_gone_before_the_next_one_writes(spark, monkeypatch):
+    top = [Path(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {p: p.stat().st_size for d in top for p in d.rglob("shuffle_*.data") if p.exists()}
+    save, made, left, before = Scratch.save, {}, [], files()
+    stays = lambda: sum(n for p, n in files().items() if p in made and n > 100)  # noqa: E731  totals of one row are smaller
+
+    def watched(self, frame):
+        end = time.time() + 2
+        while stays() and time.time() < end:  # files go a moment after their shuffle
+            time.sleep(0.05)
+        left.append(stays())
+        out = save(self, frame)
+        made.update({p: n for p, n in files().items() if p not in before})
+        return out
+
+    monkeypatch.setattr(Scratch, "save", watched)
+    suffix_tree.score_texts(frame(spark, corpus()))
+    assert sum(n > 100 for n in made.values()) > 8 and left == [0] * len(left)
+
+
+def test_parts_change_no_score(spark):
+    rows = corpus()
+    of = lambda n: sorted((r.doc_id is None, r.doc_id, r.n_known, round(r.score, 9)) for r in suffix_tree.score_texts(frame(spark, rows), depth=3, rounds=n).collect())
+    assert of(1) == of(None)
