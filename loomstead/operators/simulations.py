@@ -90,10 +90,45 @@ def gdsf_cache(capacity: int):
 
 
 def ttl_lru_cache(capacity: int, ttl: int):
-    """Least recently used among stale entries; nothing stale, no victim."""
+    """Least recently used among stale entries; nothing stale, no victim.
+
+    Entries wait in a heap by their time of arrival until they are stale, then in one by their last access, so a victim
+    takes no walk over all entries. Where time steps back, those that it makes fresh again return to the first heap. A
+    heap's rows of entries that have changed since are passed over, and dropped when they are most of it.
+    """
 
     def make():
-        held: dict = {}
+        held: dict = {}  # key: time of arrival, last access, whether it waits among the stale
+        fresh, stale, back = [], [], []
+
+        def valid(heap, row):
+            e = held.get(row[1])
+            return e is not None and (row[0] == e[0] and not e[2] if heap is fresh else e[2] and (row[0] == e[1] if heap is stale else row[0] == -e[0]))
+
+        def add(heap, at, k):
+            if len(heap) > 2 * len(held) + 64:
+                heap[:] = {row for row in heap if valid(heap, row)}
+                heapq.heapify(heap)
+            heapq.heappush(heap, (at, k))
+
+        def victim(limit):
+            """The stale entry (arrived by the limit) of the smallest last access, the smallest key in ties."""
+            while fresh and fresh[0][0] <= limit:
+                row = heapq.heappop(fresh)
+                if valid(fresh, row):
+                    held[row[1]][2] = True
+                    add(stale, held[row[1]][1], row[1])
+                    add(back, -row[0], row[1])
+            while back and -back[0][0] > limit:
+                row = heapq.heappop(back)
+                if valid(back, row):
+                    held[row[1]][2] = False
+                    add(fresh, -row[0], row[1])
+            while stale:
+                row = heapq.heappop(stale)
+                if valid(stale, row):
+                    return row[1]
+            return None
 
         def step(row):
             k, now = row["key"], int(row["wall"])
@@ -103,13 +138,15 @@ def ttl_lru_cache(capacity: int, ttl: int):
                 del held[k]
                 evicted += 1
             if not hit:
-                if len(held) >= capacity:
-                    stale = [(a, x) for x, (t, a) in held.items() if now - t >= ttl]
-                    if stale:
-                        del held[min(stale)[1]]
-                        evicted += 1
-                held[k] = [now, now]
-            held[k][1] = now
+                if len(held) >= capacity and (gone := victim(now - ttl)) is not None:
+                    del held[gone]
+                    evicted += 1
+                held[k] = [now, now, False]
+                add(fresh, now, k)
+            elif held[k][1] != now:
+                held[k][1] = now
+                if held[k][2]:
+                    add(stale, now, k)
             return {"bucket": row["bucket"], "event_id": row["event_id"], "hit": hit, "evicted": evicted}
 
         return step
