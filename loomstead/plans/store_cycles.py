@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import placement, stores
+from ..operators import catalog, placement, stores
 from ..registry import query
 from ..sources.tables import chunk_refs, objects, op_log, read, segments, sql
 
@@ -279,6 +279,5 @@ def group_by_owner(spark, d):
 @query("top_06_random_sample", sql("SELECT segment_id FROM segments ORDER BY sha256(segment_id::VARCHAR || ':42'), segment_id LIMIT (SELECT ceil(count(*) * 0.1)::BIGINT FROM segments)", "segments"))
 def random_sample(spark, d):
     """A tenth of the segments, rounded up, by a keyed hash: which are drawn."""
-    s = segments(spark, d)
-    n = -(-s.count() // 10)
-    return s.orderBy(F.sha2(F.concat(F.col("segment_id").cast("string"), F.lit(":42")), 256), "segment_id").limit(n).select("segment_id")
+    hashed = F.sha2(F.concat(F.col("segment_id").cast("string"), F.lit(":42")), 256)
+    return catalog.smallest(segments(spark, d).select(hashed.alias("hash"), "segment_id"), "hash", "segment_id", 10).select("segment_id")

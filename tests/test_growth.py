@@ -1,10 +1,13 @@
 """Work that must not grow faster than the input."""
 
+import hashlib
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from loomstead import plans
-from loomstead.operators import simulations
+from loomstead.operators import catalog, simulations
 
 
 def test_parts_of_one_name_meet_no_pairs(spark, tmp_path):
@@ -53,3 +56,17 @@ def test_ttl_lru_walks_over_no_fresh_entries():
     start = time.process_time()
     assert fold_ttl_lru([(i, i // 100) for i in range(40000)], 20, 3600) == [(False, 0)] * 40000
     assert time.process_time() - start < 5
+
+
+def test_a_sample_is_drawn_without_a_limit_over_all_rows(spark, tmp_path):
+    ids = [7] * 500 + [5] * 40 + list(range(100, 1555)) + [None] * 3
+    rows = spark.createDataFrame([(i,) for i in ids], "segment_id long").repartition(5)
+    hashed = F.sha2(F.concat(F.col("segment_id").cast("string"), F.lit(":42")), 256)
+    want = sorted((hashlib.sha256(f"{i}:42".encode()).hexdigest(), i) for i in ids if i is not None) + [(None, None)] * 3
+    for part in (1, 2, 3, 10, 3000):
+        got = catalog.smallest(rows.select(hashed.alias("hash"), "segment_id"), "hash", "segment_id", part)
+        assert [tuple(r) for r in got.collect()] == want[: -(-len(ids) // part)]
+    assert catalog.smallest(rows.limit(0).select(hashed.alias("hash"), "segment_id"), "hash", "segment_id", 10).count() == 0
+    rows.selectExpr("segment_id as o_orderkey", "'O' as o_orderstatus", "timestamp '2024-01-01' as o_orderdate", "1.0D as o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    drawn = plans.QUERIES["top_06_random_sample"](spark, str(tmp_path))
+    assert "Limit" not in drawn._jdf.queryExecution().analyzed().toString() and [r.segment_id for r in drawn.collect()] == [i for _, i in want[:200]]
