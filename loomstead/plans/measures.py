@@ -133,8 +133,7 @@ def rs_encode(spark, d):
 @query("fun_08_rs_decode", f"SELECT object_key, {PADDED} AS data FROM {BLOBS}")
 def rs_decode(spark, d):
     left = integrity.erasure_encode(blobs(spark, d)).where("(shard_idx + stripe) % 3 <> 0")
-    back = integrity.erasure_decode(left)
-    return back.groupBy("object_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("stripe", F.hex("data").alias("h")))), lambda x: x["h"]), "").alias("data"))
+    return integrity.joined(integrity.erasure_decode(left))
 
 
 @query("grf_02_callees", sql("WITH r(node, level) AS (SELECT dst, 1 FROM edges WHERE predicate = 'calls' AND src = 'p:5' UNION ALL SELECT e.dst, level + 1 FROM r JOIN edges e ON e.src = r.node WHERE predicate = 'calls' AND level < 2) SELECT node, min(level)::INT AS level FROM r GROUP BY node", "edges", recursive=True))
